@@ -38,11 +38,10 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     """The record of one sequence; ids are unsigned 32-bit, stored in 16 bits where they fit."""
-    values = np.frombuffer(ids, "<u4")
-    width = 2 if not len(values) or int(values.max()) < 65536 else 4
-    payload = _META.pack(doc_id is None, width, doc_id or 0) + (values.astype("<u2").tobytes() if width == 2 else ids)
+    width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
+    payload = _META.pack(doc_id is None, width, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<IB", masked(payload), 10)
 
@@ -73,9 +72,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: Callable[[], str] = tok
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(vocabulary()), end_id.to_bytes(4, "little")
+        encoder = Encoder.of(vocabulary())
         for batch in batches:
-            out = [frame(i, encoder.encode(t) + end)[:-1] for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            out = [frame(i, ids)[:-1] for i, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1), end_id), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))

@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed value: the id that ends every document.
 END_ID = 1
-#: Entries of each memory in a worker; when full it starts anew. It bounds memory and doesn't change results.
-MEMORY_ENTRIES = 250_000
+#: Words that a worker remembers; a full memory starts anew. It bounds memory and doesn't change results.
+PIECES = 600_000
 
-_CHUNK = re.compile(r"[^ \t-\r]+").findall
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)").fullmatch
 
+# Fixed value: the pre-tokenizer for which a chunk's ids are those of its letters and of its punctuation.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes the UTF-8 bytes of Latin letters: printable bytes as themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
 
 class Encoder:
     """The ids that the tokenizer gives a text with add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's pre-tokenizer never joins what ASCII white space parts, and drops that white space, so a text's
-    ids are those of its chunks. A chunk of Latin letters and plain punctuation is again the word's ids in lower
-    case and the punctuation's. Both halves are encoded by the tokenizers library, once while they are remembered.
+    Where the tokenizer's pre-tokenizer is the known one, it never joins what ASCII white space parts, and drops that
+    white space, so a text's ids are those of its chunks. A chunk of Latin letters and plain punctuation is again the
+    word's ids in lower case and the punctuation's, which the tokenizers library's model gives; other chunks
+    are encoded whole. Each is encoded once while it is remembered. With another pre-tokenizer whole texts are encoded.
     """
 
     _one: dict[str, Encoder] = {}
@@ -31,8 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        own = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (own["normalizer"] or {}).get("normalizers", [])], [x.get("pattern", {}).get("Regex") for x in (own["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_chunk = steps == (["NFC", "Replace", "Lowercase"], [_SPLIT, None])
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -44,30 +62,48 @@ class Encoder:
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        split, odd = {}, []
-        for c in chunks:
-            if m := _PLAIN(c):
-                split[c] = (m[1].lower(), m[2])
-            else:
-                odd.append(c)
-        if len(self.pieces) > MEMORY_ENTRIES:
-            self.pieces = {"": b""}
-        new = list({p for pair in split.values() for p in pair} - self.pieces.keys())
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        self.chunks.update((c, self.pieces[a] + self.pieces[b]) for c, (a, b) in split.items())
-        self.chunks.update(zip(odd, self._encode(odd), strict=True))
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text, a null one taken as empty, without the end id."""
-        words = _CHUNK(text or "")
-        try:
-            return b"".join([self.chunks[w] for w in words])
-        except KeyError:
-            if len(self.chunks) > MEMORY_ENTRIES:
-                self.chunks = {}
-            self._learn(set(words) - self.chunks.keys())
-            return b"".join([self.chunks[w] for w in words])
+    def _ids(self, chunk: str) -> bytes:
+        m = _PLAIN(chunk)
+        if m is None:
+            return self._remembered(chunk, lambda: self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else [])
+        return self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
+
+    def _piece(self, piece: str) -> bytes:
+        return self.known.get(piece) or self._remembered(piece, lambda: [t.id for t in self.model.tokenize(piece.translate(self.letters))])
+
+    def _remembered(self, piece: str, ids: Callable[[], list[int]]) -> bytes:
+        if (found := self.known.get(piece)) is None:
+            if len(self.known) >= PIECES:
+                self.known = {}
+            found = self.known[piece] = np.array(ids(), dtype="<u4").tobytes()
+        return found
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (a null text taken as empty), without end ids, and the bounds of each text's."""
+        texts = pc.fill_null(texts, "")
+        if self.by_chunk:
+            lists = pc.split_pattern_regex(texts, r"[\t-\r ]+")
+            chunks, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+            coded = chunks.dictionary_encode()
+            parts = [self._ids(c) for c in coded.dictionary.to_pylist()]
+            codes = coded.indices.to_numpy()
+        else:
+            encoded = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            parts, codes, bounds = [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], np.arange(len(texts)), np.arange(len(texts) + 1)
+        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) - np.repeat(ends - each - starts[codes], each)]
+        return ids, np.concatenate([[0], ends])[bounds]
+
+    def encode_each(self, texts: pa.Array, end_id: int, rows: int = 4000) -> Iterator[np.ndarray]:
+        """The ids of each text with the end id, a bounded number of texts at a time."""
+        for at in range(0, len(texts), rows):
+            ids, bounds = self.encode_batch(texts.slice(at, rows))
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield np.append(ids[s:e], np.uint32(end_id))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
