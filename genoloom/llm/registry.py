@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .packing import op8_best_fit_packing
 from .secrets import op4_secret_scan
 from .simhash import op2_simhash_dedup
 from .token_files import op7_token_files
 from .url_filter import op1_url_filter
 from .url_filter import oracle as op1_sql
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_dedup, op4_secret_scan, op5_decontaminate, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_dedup, op4_secret_scan, op5_decontaminate, op7_token_files, op8_best_fit_packing)}
 ORACLE_SQL = {"op1_url_filter": op1_sql()}

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 # Fixed value: the id that ends every document.
 END_ID = 1
 #: Words that a worker remembers; a full memory starts anew. It bounds memory and doesn't change results.
-PIECES = 600_000
+PIECES = 300_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)").fullmatch
 
@@ -98,12 +98,16 @@ class Encoder:
         ids = flat[np.arange(total) - np.repeat(ends - each - starts[codes], each)]
         return ids, np.concatenate([[0], ends])[bounds]
 
-    def encode_each(self, texts: pa.Array, end_id: int, rows: int = 4000) -> Iterator[np.ndarray]:
-        """The ids of each text with the end id, a bounded number of texts at a time."""
-        for at in range(0, len(texts), rows):
-            ids, bounds = self.encode_batch(texts.slice(at, rows))
+    def encode_each(self, texts: pa.Array, end_id: int, most: int = 4 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text with the end id; texts of about `most` bytes (or one longer text) are held at a time."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, seen = 0, 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, seen + most, "right")))
+            ids, bounds = self.encode_batch(texts.slice(at, to - at))
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 yield np.append(ids[s:e], np.uint32(end_id))
+            at, seen = to, int(sizes[to - 1])
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
