@@ -62,6 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, whose rows hold whole texts and go to Python workers: with Spark's default of 10,000 rows a batch the session's
+    batches are set to 2,000, which bounds the memory of a worker. Another setting of the user's stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "2000")
+    return df
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Input splits of a scan: a measure of its size that needs no job of its own."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_texts
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     benchmark goes to the tasks in blocks of bounded size, one pass over the documents for each.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "runs", "items")
+    docs = whole_texts(docs).drop("n_words", "n_hit", "runs", "items")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", runs array<int>, items array<long>, n_words long"
     out = docs.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<long>"), "n_words": F.lit(0).cast("long")})
     columns, text_at = docs.columns, docs.columns.index("text")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, whole_texts, written
 from .tokens import END_ID, Encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -87,12 +87,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     while shards > 1:
         bins = placed.groupBy("sequence").agg(F.sum("size").alias("size"))
         left = written(bins.where(F.col("size") < capacity).select(F.col("sequence").alias("key"), "size"), "open")
-        before, shards = shards, max(1, -(-left.count() // shard))
+        remaining = left.count()
+        before, shards = shards, max(1, -(-remaining // shard))
         shards = min(shards, before - 1)
         level += 1
         again = written(_level(left, shards, level, capacity), "repacked").select(F.col("key").alias("sequence"), F.col("sequence").alias("over"), F.col("offset").alias("base"))
         moved = placed.join(again, "sequence", "left")
         placed = written(moved.select("key", "size", F.coalesce("over", "sequence").alias("sequence"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")), "packed")
+        if again.select("over").distinct().count() > 0.99 * remaining:  # what is open doesn't fit together
+            break
     return placed.select("key", "size", F.col("sequence").alias("sequence_id"), "offset")
 
 
@@ -111,7 +114,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: Callable[[], str]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(tokens, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 

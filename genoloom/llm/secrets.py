@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Kinds in their order, pattern, group whose length counts, least length.
+# Kinds in their order, pattern, group whose length counts, least length. A run of access or hex characters
+# that is too short fails as a whole, so its least length stands in the pattern and short runs aren't matches to look at.
 BASE = (
     ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MARKOV = "markov"
 #: Candidates of the Markov models: runs of these with a letter and a digit.

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, delete, table, written
+from .common import components, delete, table, whole_texts, written
 
 SEED = 42
 #: Fingerprints of a block that are compared in one piece; a larger block is dealt out as pairs of such pieces.
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, words: int = 3, fp_words: int = 1, columns: tupl
             fps = [fingerprint(shingle_hashes(t, words), fp_words) for t in batch.column(len(columns)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(fps, pa.binary())], [*columns, "fp"])
 
-    rows = docs.select(*columns, "text")
+    rows = whole_texts(docs).select(*columns, "text")
     return rows.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", fp binary")
 
 
@@ -305,22 +305,28 @@ def _compared(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: in
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["src", "dst"])
 
 
-def classes(signed: DataFrame, radius: int, agree: float | None = None) -> DataFrame:
+def roots(fps: DataFrame, radius: int, agree: float | None = None) -> DataFrame:
+    """(fp, root) of distinct fingerprints: root is the same for all that links of at most radius reach.
+
+    agree None: every link is found; else blocks are sampled for pairs that agree on a bit with that probability.
+    """
+    count = fps.count()
+    bits = 8 * len(first.fp) if (first := fps.select("fp").first()) else 64
+    tables = exact_tables(bits, radius, count > ONE_LEVEL) if agree is None else sampled_tables(bits, agree, count)
+    tree = components(links(fps, tables, radius))
+    return fps.join(tree, fps["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(signed: DataFrame, radius: int) -> DataFrame:
     """signed (of signatures, written) with `component_id`: the smallest doc_id whose fingerprint is reached over links.
 
-    Equal fingerprints are one node, so copies cost a partial minimum and no pair. agree None: every link is found;
-    else blocks are sampled for pairs that agree on a bit with that probability. Null doc_ids take part in links;
+    Equal fingerprints are one node, so copies cost a partial minimum and no pair. Null doc_ids take part in links;
     a class of null ids alone has a null component_id. An empty table gives no rows.
     """
     nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    count = nodes.count()
-    bits = 8 * len(first.fp) if (first := nodes.select("fp").first()) else 64
-    tables = exact_tables(bits, radius, count > ONE_LEVEL) if agree is None else sampled_tables(bits, agree, count)
-    tree = components(links(nodes, tables, radius))
-    rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = nodes.join(roots(nodes.select("fp"), radius), "fp")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = rooted.join(best, "root").select("fp", "component_id")
-    return signed.join(member, "fp")
+    return signed.join(rooted.join(best, "root").select("fp", "component_id"), "fp")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,16 +336,20 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(signed, radius=3).select("doc_id", number.alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp_words: int = 4, slack: float = 1.0) -> DataFrame:
-    """(row, component_id, keep) of the rows of docs (row unique, text): classes of texts whose word shingles are alike.
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp_words: int = 4, slack: float = 1.5) -> DataFrame:
+    """(key, doc_id, first_key) of the rows of docs (key, doc_id, text): classes of texts whose word shingles are alike.
 
     Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s), and SimHash bits differ with the probability of the angle
-    over pi; the radius is the mean of that for `similarity` plus `slack` standard deviations. keep marks the
-    smallest row of each class. Texts without words are one class.
+    over pi; the radius is the mean of that for `similarity` plus `slack` standard deviations. first_key is the class's
+    key of the smallest doc_id, nulls last, then the smallest key. Texts without words are one class. Blocks are
+    sampled: of pairs just as alike as `similarity`, 97 of 100 or more meet in one.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * fp_words
     radius = round(bits * apart + slack * math.sqrt(bits * apart * (1 - apart)))
-    signed = written(signatures(docs.withColumnRenamed("row", "doc_id"), words, fp_words), "signed")
-    found = classes(signed, radius, agree=1 - apart)
-    return found.select(F.col("doc_id").alias("row"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("keep"))
+    signed = written(signatures(docs, words, fp_words, ("key", "doc_id")), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = written(signed.groupBy("fp").agg(least.alias("least")), "nodes")
+    rooted = nodes.join(roots(nodes.select("fp"), radius, 1 - apart), "fp")
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    return signed.join(rooted.join(best, "root").select("fp", F.col("best.key").alias("first_key")), "fp").drop("fp")

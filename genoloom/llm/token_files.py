@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, new_path, scan_partitions, table
+from .common import delete, new_path, scan_partitions, table, whole_texts
 from .tokens import END_ID, Encoder, tokenizer_path
 
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<BBq")
@@ -77,7 +77,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: Callable[[], str] = tok
             out = [frame(i, ids)[:-1] for i, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(batch.column(1), end_id), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(scan_partitions(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     records = rows.mapInArrow(encode, "record binary")  # without the end byte, which the line writer adds
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_texts, written
 
 #: Text of a unit; a longer document is a unit of its own.
 UNIT_BYTES = 2 << 20
@@ -99,7 +99,7 @@ def make_units(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
         if ids:
             yield unit()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(rows.mapInArrow(build, "unit long, data binary"), "units")
 
 

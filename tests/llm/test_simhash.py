@@ -106,8 +106,8 @@ def test_near_duplicates_of_five_word_shingles(spark):
                 copy[at] = "changed"
             texts.append(" ".join(copy))
             family.append(k)
-    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    got = {r.row: r.component_id for r in S.near_duplicates(docs).collect()}
+    docs = spark.createDataFrame([(f"k{i}", i, t) for i, t in enumerate(texts)], "key string, doc_id long, text string")
+    got = {r.doc_id: int(r.first_key[1:]) for r in S.near_duplicates(docs).collect()}
     right = sum(got[i] == min(j for j in range(len(texts)) if family[j] == family[i]) for i in got)
     assert right >= 0.98 * len(texts)
     assert all(family[i] == family[c] for i, c in got.items())
