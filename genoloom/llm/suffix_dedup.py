@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scan_partitions, table
-from .units import UNITS_PER_BUCKET, Replies, Rolling, Shared, Unit, ask, each_unit, in_several, make_units, mix, told
+from .units import Replies, Rolling, Shared, Unit, ask, each_unit, in_several, make_units, mix, told
 
 WINDOW = 200
 #: Bytes of the grams whose least hash is a window's key.
 GRAM = 24
+#: Units for each shard: what one suffix array holds.
+UNITS_PER_SHARD = 2
 
 
 # ---- suffix arrays
@@ -60,7 +62,7 @@ def induce(s: np.ndarray, up: np.ndarray, lms: np.ndarray, size: int) -> np.ndar
     n = len(s)
     counts = np.bincount(s, minlength=size)
     heads, tails = np.cumsum(counts) - counts, np.cumsum(counts) - 1
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     at = tails.copy()
     _append(sa, at, s, lms[::-1], -1)
     placed = tails - at  # LMS suffixes at each bucket's end
@@ -138,7 +140,8 @@ def _rank_suffixes(names: np.ndarray, depth: int | None) -> np.ndarray:
 def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Suffix array of s, integers of which the last is a unique least 0. With depth only the order by the first depth
     symbols is sure; suffixes that agree on those stand together."""
-    s = np.asarray(s, np.int64)
+    s = np.asarray(s)
+    s = s.astype(np.int16 if s.max() < 1 << 15 else np.int64)  # short symbols are sorted by radix
     if len(s) == 1:
         return np.zeros(1, np.int64)
     up = suffix_types(s)
@@ -159,7 +162,7 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, the symbols (at most `most`) that its suffix shares with its predecessor in the array."""
     n = len(s)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, sa.dtype)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n - 1
     padded = np.concatenate([s.astype(np.int64), np.full(8, -1)])
@@ -167,7 +170,7 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     word = np.zeros(n, np.int64)
     for k in range(7):
         word = (word << 9) | (padded[k : k + n] + 1)
-    out, alive, d = np.zeros(n, np.int64), np.arange(n), 0
+    out, alive, d = np.zeros(n, np.int32), np.arange(n), 0
     alive = alive[alive != sa[0]]
     while len(alive) and d < most:
         a, b = alive + d, before[alive] + d
@@ -189,9 +192,9 @@ def repeated_starts(texts: list[bytes], weights: list[int], window: int) -> list
     """For each text, which of its windows (by start) occur again: in the others, in itself, or as it has a weight over 1."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 2
+    joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + 2
     joined[starts + sizes] = 1  # parts texts
-    s = np.append(joined, 0)
+    s = np.append(joined, np.int16(0))
     sa = suffix_array(s, window)
     common = permuted_common_prefixes(s, sa, window)
     text = np.append(np.repeat(np.arange(len(texts)), sizes + 1), 0)
@@ -324,7 +327,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     """
     units = make_units(docs)
     count = max(1, units.count())
-    buckets = max(1, -(-count // UNITS_PER_BUCKET))
+    buckets = max(1, -(-count // UNITS_PER_SHARD))
     partitions = max(buckets, scan_partitions(units))
 
     def send_keys(unit: Unit, _: list[Replies]) -> Iterator[tuple[int, bytes]]:
