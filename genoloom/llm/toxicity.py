@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table, whole_texts
 
 #: Labelled rows of each class on which the chain is fitted, at most; chosen by the hash of their id.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Word features of the models, at most.
 FEATURES = 800
 FOLDS = 3
@@ -99,22 +99,28 @@ class Chain:
 
 def select_features(texts: pa.Array, toxic: np.ndarray, most: int = FEATURES) -> list[str]:
     """Words and beginnings that toxic texts have more often, by the chi-square of their presence."""
-    text, code, words = word_lists(texts)
-    found: dict[str, set[int]] = {}
-    by_word: dict[int, list[int]] = {}
-    for t, c in zip(text.tolist(), code.tolist(), strict=True):
-        by_word.setdefault(c, []).append(t)
-    for c, ts in by_word.items():
-        for f in features_of(words[c]):
-            found.setdefault(f, set()).update(ts)
+    numbers: dict[str, int] = {}
+    have, both, at = np.zeros(0), np.zeros(0), 0
+    while at < len(texts):  # a few hundred texts at a time
+        text, code, words = word_lists(texts.slice(at, 250))
+        owned = [[numbers.setdefault(f, len(numbers)) for f in features_of(w)] for w in words]
+        sizes = np.array([len(o) for o in owned], np.int64)
+        flat, starts = np.array([f for o in owned for f in o], np.int64), np.cumsum(sizes) - sizes
+        each = sizes[code]
+        inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        pairs = np.unique(np.repeat(text, each) * len(numbers) + flat[np.repeat(starts[code], each) + inside]) if len(flat) else np.zeros(0, np.int64)
+        of, which = pairs % max(1, len(numbers)), pairs // max(1, len(numbers)) + at
+        grown = np.zeros(len(numbers) - len(have))
+        have = np.append(have, grown) + np.bincount(of, minlength=len(numbers))
+        both = np.append(both, grown) + np.bincount(of, weights=toxic[which], minlength=len(numbers))
+        at += 250
     n, positive = len(toxic), float(toxic.sum())
-    scored = []
-    for f, ts in found.items():
-        both = float(toxic[list(ts)].sum())
-        if len(ts) >= 4 and both / max(1.0, positive) > 2 * (len(ts) - both) / max(1.0, n - positive):
-            expected = len(ts) * positive / n
-            scored.append((-((both - expected) ** 2) / max(expected, 1e-9), f))
-    return [f for _, f in sorted(scored)[:most]]
+    expected = have * positive / n
+    more = (have >= 4) & (both / max(1.0, positive) > 2 * (have - both) / max(1.0, n - positive))
+    score = np.where(more, (both - expected) ** 2 / np.maximum(expected, 1e-9), -1.0)
+    names = list(numbers)
+    best = sorted(np.flatnonzero(more).tolist(), key=lambda i: (-score[i], names[i]))
+    return [names[i] for i in best[:most]]
 
 
 def fit(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
