@@ -101,7 +101,7 @@ def cycle_guard(ped: DataFrame, most: int = 500) -> DataFrame:
     for c in ("sire_id", "dam_id"):
         on = bad.select(F.col("animal_id"), F.col("parent").alias(c), F.col("bad").alias(f"bad_{c}"))
         out = out.join(on, ["animal_id", c], "left").withColumn(c, F.when(F.col(f"bad_{c}").isNull(), F.col(c))).drop(f"bad_{c}")
-    return out
+    return out.select(*ped.columns)
 
 
 def genomic_products(z: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -148,12 +148,12 @@ def inverse(g: DataFrame, limit: int = INVERSE_LIMIT) -> DataFrame:
     return g.select("i", "j", "g").coalesce(1).mapInPandas(invert, "i long, j long, v double")
 
 
-def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: float = 1e-10) -> DataFrame:
+def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: float = 1e-9) -> DataFrame:
     """(i, x) with a x = b, for a symmetric positive definite (i, j, v), i >= j or i <= j once each, and b (i, y).
 
     Jacobi-preconditioned; every product is a join and a sum, only scalars come to the driver.
     """
-    full = a.union(a.where("i <> j").select(F.col("j"), F.col("i"), "v")).cache()
+    full = _cut(a.union(a.where("i <> j").select(F.col("j"), F.col("i"), "v")))
     m = full.where("i = j").select("i", F.col("v").alias("m"))
     state = _cut(b.join(m, "i").select("i", F.lit(0.0).alias("x"), F.col("y").alias("r"), (F.col("y") / F.col("m")).alias("p"), "m"))
     rz, bb = state.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
@@ -161,15 +161,15 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: f
         if not bb or not rz:
             break
         ap = full.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("ap"))
-        joined = _cut(state.join(ap, "i"))
+        joined = state.join(ap, "i").cache()
         alpha = rz / joined.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         stepped = joined.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "m")
         new, rr = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
         state = _cut(stepped.withColumn("p", F.col("r") / F.col("m") + (new / rz) * F.col("p")))
+        joined.unpersist()
         rz = new
         if rr <= tolerance**2 * bb:
             break
-    full.unpersist()
     return state.select("i", "x")
 
 

@@ -115,14 +115,14 @@ def write_geno(wide: DataFrame, path: str, widths: Mapping[str, int] | None = No
     wide.select(F.concat_ws(" ", *shown, digits).alias("value")).write.text(path)
 
 
-_HEAD, _ENTRY = struct.Struct("<4siiq"), np.dtype([("i", "<i4"), ("j", "<i4"), ("v", "<f8")])
+_HEAD, _ENTRY = "<4siiq", np.dtype([("i", "<i4"), ("j", "<i4"), ("v", "<f8")])
 
 
 def triplet_bytes(i: Sequence[int], j: Sequence[int], v: Sequence[float], n: int, magic: bytes = b"ATRP") -> bytes:
     """A triplet file: magic, version, order, number of entries, entries."""
     held = np.empty(len(v), _ENTRY)
     held["i"], held["j"], held["v"] = i, j, v
-    return _HEAD.pack(magic, 1, n, len(v)) + held.tobytes()
+    return struct.pack(_HEAD, magic, 1, n, len(v)) + held.tobytes()
 
 
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
@@ -131,10 +131,10 @@ def read_triplets(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                magic, _, _, n = _HEAD.unpack_from(content)
+                magic, _, _, n = struct.unpack_from(_HEAD, content)
                 if magic not in (b"ATRP", b"AINV"):
                     raise ValueError(f"not a triplet file: {magic!r}")
-                held = np.frombuffer(content, _ENTRY, n, _HEAD.size)
+                held = np.frombuffer(content, _ENTRY, n, struct.calcsize(_HEAD))
                 yield pd.DataFrame({"i": held["i"].astype("int64"), "j": held["j"].astype("int64"), "v": held["v"].astype("float64")})
 
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("v", T.DoubleType())])
