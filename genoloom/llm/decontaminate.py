@@ -210,3 +210,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), keep_text=False)
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def oracle() -> str:
+    """The same rows by joining whole windows as strings; doc_ids are unique."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with d as (select doc_id, {words} as ws from documents), b as (select item_id, {words} as ws from benchmark),
+    item_windows as (select distinct item_id, n, array_to_string(ws[i : i + n - 1], ' ') as k from (select *, unnest(range(1, len(ws) - n + 2)) as i from (select *, least({WINDOW}, len(ws)) as n from b where len(ws) > 0))),
+    doc_windows as (select doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') as k from (select d.*, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from item_windows))),
+    hits as (select doc_id, i, doc_windows.n, item_id from doc_windows join item_windows on doc_windows.n = item_windows.n and doc_windows.k = item_windows.k),
+    hit_words as (select doc_id, count(distinct i + j) as n_hit from (select *, unnest(range(0, n)) as j from hits) group by doc_id),
+    hit_items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from hits group by doc_id)
+    select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+      sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join hit_words on d.doc_id = hit_words.doc_id left join hit_items on d.doc_id = hit_items.doc_id"""

@@ -120,3 +120,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, removed words and the rest."""
     found = dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """The same rows by counting whole windows as strings; doc_ids are unique."""
+    return f"""
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    windows as (select doc_id, i, array_to_string(ws[i : i + {WINDOW} - 1], ' ') as k from (select *, unnest(range(1, len(ws) - {WINDOW} + 2)) as i from w)),
+    repeated as (select doc_id, i from windows where k in (select k from windows group by k having count(*) > 1)),
+    gone as (select distinct doc_id, i + j as p from (select *, unnest(range(0, {WINDOW})) as j from repeated)),
+    words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+    kept as (select words.doc_id, count(*) as n, string_agg(word, ' ' order by words.p) as t from words anti join gone on words.doc_id = gone.doc_id and words.p = gone.p group by words.doc_id)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from w left join kept on w.doc_id = kept.doc_id"""
