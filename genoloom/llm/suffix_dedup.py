@@ -124,7 +124,7 @@ def _rank_suffixes(names: np.ndarray, depth: int | None) -> np.ndarray:
     """Order of the suffixes of names by their first depth symbols at least (all if None), by doubling ranks."""
     n, rank, k = len(names), names.astype(np.int64), 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)  # equal ranks may stand in any order
         ordered = rank[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)

@@ -107,10 +107,10 @@ Replies = dict[int, bytes]
 
 
 def told(units: DataFrame, replies: list[DataFrame]) -> DataFrame:
-    """units with a column reply_<n> for each table of replies."""
+    """units with a column reply_<n> for each table of replies, which grow with the units and so are never broadcast."""
     out = units
     for n, r in enumerate(replies):
-        out = out.join(r.withColumnRenamed("reply", f"reply_{n}"), "unit", "left")
+        out = out.join(r.withColumnRenamed("reply", f"reply_{n}").hint("merge"), "unit", "left")
     return out
 
 
