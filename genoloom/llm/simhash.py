@@ -174,6 +174,35 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def block_roots(fps: np.ndarray, left: int, radius: int) -> np.ndarray:
+    """For each fingerprint of a block the least one that links reach; links are between the first `left` and the others,
+    or among all if left is their number.
+
+    Whoever links two classes isn't wholly in the largest one, so only fingerprints outside it are compared with
+    the rest: a block of thousands of near-copies costs a few rows of comparisons.
+    """
+    n = len(fps)
+    root, asked, chunk = np.arange(n), np.zeros(n, bool), 64
+    while True:
+        largest = np.bincount(root, minlength=n).argmax()
+        todo = np.flatnonzero(~asked & (root != largest))[:chunk]
+        if not len(todo):
+            return root
+        asked[todo] = True
+        a, b = [np.arange(n)], [root]
+        if left == n:
+            sides = [(todo, np.arange(n))]
+        else:
+            sides = [(todo[todo < left], np.arange(left, n)), (todo[todo >= left], np.arange(left))]
+        for rows, others in sides:
+            if len(rows):
+                i, j = block_links(fps[rows], fps[others], radius)
+                a.append(rows[i])
+                b.append(others[j])
+        root = spanning(n, np.concatenate(a), np.concatenate(b))
+        chunk = min(512, 2 * chunk)
+
+
 # ---- blocking
 
 def exact_tables(bits: int, radius: int, many: bool) -> list[np.ndarray]:
@@ -287,15 +316,9 @@ def _compared(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: in
     for g in np.flatnonzero(big):
         s, e = ends[g] - size[g], ends[g]
         left = int((~sides[s:e]).sum())
-        if left == e - s:
-            a, b = block_links(fps[s:e], None, radius)
-        elif left:
-            a, b = block_links(fps[s : s + left], fps[s + left : e], radius)
-            b = b + left
-        else:
-            continue
-        links_a.append(a + s)
-        links_b.append(b + s)
+        root = block_roots(fps[s:e], left, radius) if left else np.arange(e - s)
+        links_a.append(np.arange(s, e))
+        links_b.append(root + s)
     if not links_a:
         return
     root = spanning(len(groups), np.concatenate(links_a), np.concatenate(links_b))

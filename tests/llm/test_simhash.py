@@ -57,6 +57,17 @@ def test_kernels(n, bits, radius):
     assert cross == {(i, j) for i, j in want if i < half <= j}
 
 
+@pytest.mark.parametrize(("n", "bits", "radius", "spread"), [(300, 64, 3, 0.02), (900, 64, 3, 0.005), (700, 256, 46, 0.12), (500, 64, 3, 0.06)])
+def test_block_roots(n, bits, radius, spread):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 256, (3, bits // 8), dtype=np.uint8)
+    fps = base[rng.integers(0, 3, n)] ^ np.packbits(rng.random((n, bits)) < spread, axis=1)
+    for left in (n, n // 3):
+        i, j = S.block_links(fps, None, radius) if left == n else S.block_links(fps[:left], fps[left:], radius)
+        want = S.spanning(n, i, j if left == n else j + left)
+        assert S.block_roots(fps, left, radius).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_tables_meet(many):
     tables = S.exact_tables(64, 3, many)
