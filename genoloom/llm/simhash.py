@@ -23,6 +23,10 @@ SEED = 42
 TILE = 2048
 #: Fingerprints up to which one level of bands is used; beyond, bands within bands. Both find every link.
 ONE_LEVEL = 1 << 22
+#: Shingles of a class of candidates whose sets are compared in one piece; a larger class is dealt out as pairs of such pieces.
+SET_TILE = 1 << 21
+#: Sets up to which candidates also meet by shared shingles: fingerprints of few shingles differ more than those of many.
+SHORT = 50
 _PART = 1 << 16
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -181,7 +185,11 @@ def block_roots(fps: np.ndarray, left: int, radius: int) -> np.ndarray:
     Whoever links two classes isn't wholly in the largest one, so only fingerprints outside it are compared with
     the rest: a block of thousands of near-copies costs a few rows of comparisons.
     """
-    n = len(fps)
+    return _roots(len(fps), left, lambda rows, others: block_links(fps[rows], fps[others], radius))
+
+
+def _roots(n: int, left: int, linked) -> np.ndarray:
+    """block_roots of n rows; linked(rows, others) are the links (i, j) between rows[i] and others[j]."""
     root, asked, chunk = np.arange(n), np.zeros(n, bool), 64
     while True:
         largest = np.bincount(root, minlength=n).argmax()
@@ -196,13 +204,48 @@ def block_roots(fps: np.ndarray, left: int, radius: int) -> np.ndarray:
             sides = [(todo[todo < left], np.arange(left, n)), (todo[todo >= left], np.arange(left))]
         for rows, others in sides:
             if len(rows):
-                i, j = block_links(fps[rows], fps[others], radius)
+                i, j = linked(rows, others)
                 a.append(rows[i])
                 b.append(others[j])
         root = spanning(n, np.concatenate(a), np.concatenate(b))
         chunk = min(512, 2 * chunk)
 
 
+# ---- exact similarity
+
+def prefix_keys(shingles: np.ndarray, similarity: float) -> list[int]:
+    """Keys of a short set's least shingles: any two short sets with that Jaccard similarity or more share one of them."""
+    n = len(shingles)
+    if not 0 < n <= SHORT:
+        return []
+    return ((shingles[: n - math.ceil(similarity * n - 1e-9) + 1] >> np.uint64(2)) | np.uint64(1 << 62)).astype(np.int64).tolist()
+
+
+def set_roots(sets: list[np.ndarray], left: int, similarity: float) -> np.ndarray:
+    """block_roots of sets (distinct shingles): a link is an exact Jaccard similarity of `similarity` or more."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(shingle, kind="stable")]
+    count = np.bincount(shingle)
+    first = np.cumsum(count) - count
+
+    def linked(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = ([], [])
+        for i, row in enumerate(rows.tolist()):
+            own = shingle[ends[row] - size[row] : ends[row]]
+            many = count[own]
+            at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=n)[others]
+            j = np.flatnonzero(both >= similarity * (size[row] + size[others] - both) - 1e-9)
+            found[0].append(np.full(len(j), i))
+            found[1].append(j)
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    return _roots(n, left, linked)
+
+
 # ---- blocking
 
 def exact_tables(bits: int, radius: int, many: bool) -> list[np.ndarray]:
@@ -220,7 +263,7 @@ def exact_tables(bits: int, radius: int, many: bool) -> list[np.ndarray]:
     return out
 
 
-def sampled_tables(bits: int, agree: float, count: int, recall: float = 0.97) -> list[np.ndarray]:
+def sampled_tables(bits: int, agree: float, count: int, recall: float = 0.99) -> list[np.ndarray]:
     """Tables of sampled bits for a radius that bands can't cover: two fingerprints that agree on each bit with
     probability `agree` meet in one of them with probability `recall` or more. Keys widen with the logarithm of
     the count, so that blocks stay small at every size."""
@@ -230,9 +273,11 @@ def sampled_tables(bits: int, agree: float, count: int, recall: float = 0.97) ->
     return [np.sort(chosen.choice(bits, width, replace=False)) for _ in range(tables)]
 
 
-def links(fps: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
+def links(fps: DataFrame, tables: list[np.ndarray], radius: int, more: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints (column fp) that connect what lies at most radius apart.
 
+    more: further keys (key, fp) by which fingerprints meet.
+
     Of each block only a spanning forest is returned, so edges grow with the fingerprints and not with pairs. Blocks
     beyond TILE are cut into pieces; each pair of pieces is a task of its own.
     """
@@ -247,26 +292,31 @@ def links(fps: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
                 key = (bits[:, positions] << np.arange(len(positions))).sum(axis=1) + (t << 48)
                 yield pa.RecordBatch.from_arrays([pa.array(key), values], ["key", "fp"])
 
-    rows = written(fps.select("fp").mapInArrow(keyed, "key long, fp binary"), "keyed")
+    keys = fps.select("fp").mapInArrow(keyed, "key long, fp binary")
+    rows = written(keys if more is None else keys.union(more), "keyed")
     large = rows.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     tiled = rows.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = tiled.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    pairs = pairs.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"), "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, sides, values in _whole_groups(batches):
-            yield from _compared(groups, sides, values, radius)
+        for groups, sides, (values,) in _whole_groups(batches):
+            yield from _compared(groups, sides, np.frombuffer(b"".join(values), np.uint8).reshape(len(groups), -1), radius)
 
-    dealt = pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
-    found = dealt.mapInArrow(compare, "src binary, dst binary").distinct()
+    found = _dealt(tiled, "key", "fp").mapInArrow(compare, "src binary, dst binary").distinct()
     out = written(found, "links")
     delete(fps.sparkSession, rows._scratch_path)
     return out
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches cut so that no group (key, a, b) spans two of them: group numbers, sides, fingerprints."""
+def _dealt(tiled: DataFrame, key: str, node: str, *columns: str) -> DataFrame:
+    """Rows of groups (key) cut into `tiles` pieces by node, sorted by pairs of pieces (key, a, b, side): node, columns."""
+    own = F.pmod(F.xxhash64(node), F.col("tiles")).cast("int")
+    pairs = tiled.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    pairs = pairs.select(key, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"), node, *columns)
+    return pairs.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "side")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """Batches cut so that no group (key, a, b) spans two of them: group numbers, sides, the other columns."""
     held: list[pa.RecordBatch] = []
 
     def grouped(t: pa.Table):
@@ -275,8 +325,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         side = t.column(3).to_numpy(zero_copy_only=False)
-        fps = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        return np.cumsum(change), side, fps
+        return np.cumsum(change), side, [t.column(i).to_pylist() for i in range(4, t.num_columns)]
 
     last = lambda b, at: tuple(b.column(i)[at].as_py() for i in range(3))
     for batch in batches:
@@ -328,15 +377,16 @@ def _compared(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: in
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["src", "dst"])
 
 
-def roots(fps: DataFrame, radius: int, agree: float | None = None) -> DataFrame:
+def roots(fps: DataFrame, radius: int, agree: float | None = None, more: DataFrame | None = None) -> DataFrame:
     """(fp, root) of distinct fingerprints: root is the same for all that links of at most radius reach.
 
-    agree None: every link is found; else blocks are sampled for pairs that agree on a bit with that probability.
+    agree None: every link is found; else blocks are sampled for pairs that agree on a bit with that probability,
+    and `more` (key, fp) are further blocks.
     """
     count = fps.count()
     bits = 8 * len(first.fp) if (first := fps.select("fp").first()) else 64
     tables = exact_tables(bits, radius, count > ONE_LEVEL) if agree is None else sampled_tables(bits, agree, count)
-    tree = components(links(fps, tables, radius))
+    tree = components(links(fps, tables, radius, more))
     return fps.join(tree, fps["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -359,20 +409,69 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(signed, radius=3).select("doc_id", number.alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp_words: int = 4, slack: float = 1.5) -> DataFrame:
+def set_signatures(docs: DataFrame, words: int, fp_words: int, similarity: float) -> DataFrame:
+    """key, doc_id, fp, `sid` (of the set of shingles, 16 bytes), its `size` and its prefix_keys `prefix`."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            fps = [fingerprint(h, fp_words) for h in hashes]
+            sids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            made = [pa.array(fps, pa.binary()), pa.array(sids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix_keys(s, similarity) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "fp", "sid", "size", "prefix"])
+
+    rows = whole_texts(docs).select("key", "doc_id", "text")
+    return rows.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", fp binary, sid binary, size long, prefix array<bigint>")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) between the sets (nodes: sid, key of a text, size, root) that connect what is alike by the exact
+    Jaccard similarity of whole sets, within classes of candidates (root). Sets are made again from the few texts concerned."""
+    several = nodes.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / SET_TILE).cast("int").alias("tiles")).where("n > 1")
+    members = nodes.join(several.select("root", F.greatest("tiles", F.lit(1)).alias("tiles")), "root").select("key", "sid", "root", "tiles")
+    rows = whole_texts(docs).select("key", "text").join(members, "key").select("root", "tiles", "sid", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["root", "tiles", "sid", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, sides, (sids, shingles) in _whole_groups(batches):
+            src, dst = [], []
+            cuts = np.flatnonzero(np.diff(groups, prepend=-1, append=groups[-1] + 1))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if left := int((~sides[s:e]).sum()):
+                    root = set_roots([np.frombuffer(x, np.uint64) for x in shingles[s:e]], left, similarity)
+                    for i in np.flatnonzero(root != np.arange(e - s)).tolist():
+                        src.append(sids[s + i])
+                        dst.append(sids[s + root[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+    made = rows.mapInArrow(sets, "root binary, tiles int, sid binary, shingles binary")
+    return _dealt(made, "root", "sid", "shingles").mapInArrow(compare, "src binary, dst binary").distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp_words: int = 4, slack: float = 4.5) -> DataFrame:
     """(key, doc_id, first_key) of the rows of docs (key, doc_id, text): classes of texts whose word shingles are alike.
 
-    Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s), and SimHash bits differ with the probability of the angle
-    over pi; the radius is the mean of that for `similarity` plus `slack` standard deviations. first_key is the class's
-    key of the smallest doc_id, nulls last, then the smallest key. Texts without words are one class. Blocks are
-    sampled: of pairs just as alike as `similarity`, 97 of 100 or more meet in one.
+    Links are pairs whose sets of distinct shingles have an exact Jaccard similarity of `similarity` or more; fingerprints only
+    find the candidates. Two sets of similarity s have a cosine of 2 s / (1 + s), and SimHash bits differ with the probability
+    of the angle over pi; the radius is the mean of that for `similarity` plus `slack` standard deviations, wide enough also for
+    sets of four or five shingles, whose bits differ in 3 of 16 cases. first_key is the class's key of the smallest
+    doc_id, nulls last, then the smallest key. Texts without words are one class. Blocks are sampled: of pairs just as alike as
+    `similarity`, 99 of 100 or more meet in one, and short sets always do.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * fp_words
     radius = round(bits * apart + slack * math.sqrt(bits * apart * (1 - apart)))
-    signed = written(signatures(docs, words, fp_words, ("key", "doc_id")), "signed")
+    signed = written(set_signatures(docs, words, fp_words, similarity), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    nodes = written(signed.groupBy("fp").agg(least.alias("least")), "nodes")
-    rooted = nodes.join(roots(nodes.select("fp"), radius, 1 - apart), "fp")
+    nodes = written(signed.groupBy("sid", "fp").agg(least.alias("least"), F.min("key").alias("key"), F.max("size").alias("size")), "nodes")
+    short = signed.select(F.explode("prefix").alias("key"), "fp").distinct()
+    candidates = nodes.join(roots(written(nodes.select("fp").distinct(), "fps"), radius, 1 - apart, short), "fp")
+    tree = components(written(confirmed(docs, candidates.select("key", "sid", "size", "root"), words, similarity), "confirmed"))
+    rooted = nodes.join(tree, nodes["sid"] == tree["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    return signed.join(rooted.join(best, "root").select("fp", F.col("best.key").alias("first_key")), "fp").drop("fp")
+    return signed.select("key", "doc_id", "sid").join(rooted.join(best, "root").select("sid", F.col("best.key").alias("first_key")), "sid").drop("sid")

@@ -122,3 +122,49 @@ def test_near_duplicates_of_five_word_shingles(spark):
     right = sum(got[i] == min(j for j in range(len(texts)) if family[j] == family[i]) for i in got)
     assert right >= 0.98 * len(texts)
     assert all(family[i] == family[c] for i, c in got.items())
+
+
+def jaccard(a, b):
+    a, b = (set(S.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def classes_of(spark, texts):
+    docs = spark.createDataFrame([(f"k{i}", i, t) for i, t in enumerate(texts)], "key string, doc_id long, text string")
+    return {r.doc_id: int(r.first_key[1:]) for r in S.near_duplicates(docs).collect()}
+
+
+@pytest.mark.parametrize("tile", [1 << 21, 100])
+def test_near_duplicates_are_exact(spark, monkeypatch, tile):
+    """Pairs at 0.6 to 0.79 stay apart and pairs at 0.8 or more are joined, short texts as long ones."""
+    monkeypatch.setattr(S, "SET_TILE", tile, raising=False)
+    rng = np.random.default_rng(11)
+    texts, alike = [], []
+    for n, extra in itertools.product([8, 9, 10, 12, 13, 20, 40, 80, 300], [1, 2, 3, 5, 8, 20, 60, 75, 110]):
+        for _ in range(4):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 30, n + extra)]
+            a, b = " ".join(words[:n]), " ".join(words)
+            s = jaccard(a, b)
+            if s >= 0.6:
+                texts += [a, b]
+                alike.append(s >= 0.8)
+    assert 30 < sum(alike) < len(alike) - 30
+    got = classes_of(spark, texts)
+    joined = [got[2 * i + 1] == 2 * i for i in range(len(alike))]
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert not any(j and not a for j, a in zip(joined, alike, strict=True))
+    assert sum(j and a for j, a in zip(joined, alike, strict=True)) >= 0.97 * sum(alike)
+
+
+def test_set_roots():
+    rng = np.random.default_rng(2)
+    base = [rng.choice(1000, 40, replace=False).astype(np.uint64) for _ in range(8)]
+    sets = []
+    for i in range(150):
+        kept = rng.random(40) < (1 if i % 5 == 0 else 0.9)
+        sets.append(np.unique(np.concatenate([base[i % 8][kept], rng.integers(2000, 9000, i % 4).astype(np.uint64)])))
+    for left in (150, 60):
+        pairs = [(i, j) for i, j in itertools.combinations(range(150), 2) if (left == 150 or i < left <= j)]
+        ok = [(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        want = S.spanning(150, *map(np.array, zip(*ok, strict=True)))
+        assert S.set_roots(sets, left, 0.8).tolist() == want.tolist()
