@@ -414,9 +414,8 @@ def set_signatures(docs: DataFrame, words: int, fp_words: int, similarity: float
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            sets = [np.unique(h) for h in hashes]
-            fps = [fingerprint(h, fp_words) for h in hashes]
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            fps = [fingerprint(s, fp_words) for s in sets]  # of sets: repeats don't count, unlike op2's
             sids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             made = [pa.array(fps, pa.binary()), pa.array(sids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix_keys(s, similarity) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "fp", "sid", "size", "prefix"])

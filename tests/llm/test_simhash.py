@@ -168,3 +168,18 @@ def test_set_roots():
         ok = [(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
         want = S.spanning(150, *map(np.array, zip(*ok, strict=True)))
         assert S.set_roots(sets, left, 0.8).tolist() == want.tolist()
+
+
+def test_near_duplicates_count_no_repeats(spark):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    texts = []
+    for _ in range(20):  # a line in common, repeated: the similarity is 0.1 or so
+        line = fresh(20)
+        texts += [" ".join(fresh(100) + line * 10), " ".join(fresh(100) + line * 10)]
+    for _ in range(20):  # all shingles but one alike, repeated differently
+        line, rest = fresh(20), fresh(300)
+        texts += [" ".join(rest + line * 2), " ".join(rest + line * 200 + fresh(1))]
+    got = classes_of(spark, texts)
+    assert [got[i] for i in range(40)] == list(range(40))
+    assert [got[i] for i in range(40, 80)] == [i - i % 2 for i in range(40, 80)]
