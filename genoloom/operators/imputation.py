@@ -25,11 +25,17 @@ register(
             from family_cells f join snp_map m on f.snp_idx = m.snp_idx left join mendel_fills x on f.animal_id = x.animal_id and f.snp_idx = x.snp_idx group by m.chr""",
         "phasing_stats": "select snp_idx, count(*) as filled from mendel_fills group by snp_idx order by filled desc, snp_idx limit 5",
         "filled": "select g.animal_id, g.snp_idx, coalesce(g.g, m.g) as g from geno g left join mendel_fills m on g.animal_id = m.animal_id and g.snp_idx = m.snp_idx",
-        # base windows of a width, and the same shifted; missing counts as 0 in a key
-        "hap_windows": """select w.window_id, w.first_snp, w.first_snp + $width - 1 as last_snp, w.layer from (select cast(floor((snp_idx - 1) / $width) as bigint) as window_id, min(snp_idx) as first_snp, 0 as layer from snp_map
+        # base windows of a width, and the same shifted, numbered from 1000 or beyond the largest base window; missing counts as 0 in a key
+        "hap_windows": {
+            "spark": """select w.window_id, w.first_snp, w.first_snp + $width - 1 as last_snp, w.layer from (select cast(floor((snp_idx - 1) / $width) as bigint) as window_id, min(snp_idx) as first_snp, 0 as layer from snp_map
+            where floor((snp_idx - 1) / $width) * $width + $width <= (select max(snp_idx) from snp_map) group by floor((snp_idx - 1) / $width)
+            union all select (select greatest(1000, 1 + cast(floor((max(snp_idx) - 1) / $width) as bigint)) from snp_map) + cast(floor((snp_idx - 1 - $shift) / $width) as bigint), min(snp_idx), 1 from snp_map where snp_idx > $shift
+            and floor((snp_idx - 1 - $shift) / $width) * $width + $width + $shift <= (select max(snp_idx) from snp_map) group by floor((snp_idx - 1 - $shift) / $width)) w""",
+            "duckdb": """select w.window_id, w.first_snp, w.first_snp + $width - 1 as last_snp, w.layer from (select cast(floor((snp_idx - 1) / $width) as bigint) as window_id, min(snp_idx) as first_snp, 0 as layer from snp_map
             where floor((snp_idx - 1) / $width) * $width + $width <= (select max(snp_idx) from snp_map) group by floor((snp_idx - 1) / $width)
             union all select 1000 + cast(floor((snp_idx - 1 - $shift) / $width) as bigint), min(snp_idx), 1 from snp_map where snp_idx > $shift
             and floor((snp_idx - 1 - $shift) / $width) * $width + $width + $shift <= (select max(snp_idx) from snp_map) group by floor((snp_idx - 1 - $shift) / $width)) w""",
+        },
         "hap_keys": """select w.window_id, w.first_snp, g.animal_id, sum(coalesce(g.g, 0) * power(3e0, g.snp_idx - w.first_snp)) as hap, count(*) - count(g.g) as missing
             from hap_windows w join filled g on g.snp_idx between w.first_snp and w.last_snp group by w.window_id, w.first_snp, g.animal_id""",
         "hap_key": "select window_id, animal_id, cast(hap as bigint) as hap, missing from hap_keys",

@@ -122,3 +122,15 @@ def test_stream(spark, tmp_path):
     got = {r.snp_idx: (r.n0, r.n1, r.n2, r.n) for r in counts.totals(spark.read.parquet(str(tmp_path / "out"))).collect()}
     want = {s: tuple(sum(1 for _, t, g in rows if t == s and g == k) for k in range(3)) + (12,) for s in range(5)}
     assert got == want
+
+
+def test_hap_windows_of_many_markers(spark):
+    """Beyond 6,000 markers base and shifted windows have numbers of their own, and so have their panels."""
+    n = 6100
+    snp_map = spark.range(1, n + 1).select(F.col("id").cast("int").alias("snp_idx"))
+    got = engine.run(spark, "hap_windows", snp_map=snp_map).collect()
+    assert len(got) == len({r.window_id for r in got}) == n // 6 + (n - 3) // 6
+    assert {r.window_id for r in got if r.layer == 0} == set(range(n // 6))
+    geno = snp_map.crossJoin(spark.range(1, 4).withColumnRenamed("id", "animal_id")).select("animal_id", "snp_idx", F.lit(1).alias("g"))
+    panel = engine.run(spark, "hap_panel", snp_map=snp_map, filled=geno).collect()
+    assert len(panel) == len(got) and all(r.n == 3 for r in panel)
