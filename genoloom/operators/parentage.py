@@ -6,7 +6,9 @@ from ..plans.engine import register
 
 register(
     {
-        "seek_children": "select a.animal_id, p.byr, p.sire_id, p.dam_id from mendel_actions a join ped p on a.animal_id = p.animal_id where a.action = 1",
+        # parents are sought after Mendelian errors or a sex conflict
+        "seek_children": """select a.animal_id, p.byr, p.sire_id, p.dam_id from mendel_actions a join ped p on a.animal_id = p.animal_id
+            join sex_checks s on a.animal_id = s.animal_id where a.action = 1 or s.sex_qc = 1""",
         # a candidate is another animal without a sex conflict, a year older at least
         "age_pairs": """select c.animal_id as child, p.animal_id as cand, p.sex from seek_children c join ped p on p.byr <= c.byr - $min_age and p.animal_id <> c.animal_id
             join sex_checks s on p.animal_id = s.animal_id where s.sex_qc in (0, 2)""",
@@ -20,7 +22,9 @@ register(
         "cand_compat": "select child, cand, n_valid, n_errors from compat_pairs",
         "kept_pairs": "select * from compat_pairs where abs(rel - 0.5e0) <= $g_tol",
         "cand_g": "select child, cand, round(rel, 6) as rel from kept_pairs",
-        "slots": "select child, cand, n_valid, n_errors, case when sex = 2 then 'sire' else 'dam' end as slot from kept_pairs where sex in (1, 2)",
+        # unknown sex competes for both
+        "slots": """select k.child, k.cand, k.n_valid, k.n_errors, x.slot from kept_pairs k
+                join (select 'sire' as slot, 1 as other union all select 'dam' as slot, 2 as other) x on coalesce(k.sex, 0) <> x.other""",
         "cand_slot": "select child, cand, slot from slots",
         "slot_ranks": """select *, row_number() over (partition by child, slot order by n_errors, n_valid desc, cand) as k, count(*) over (partition by child, slot) as n from slots""",
         "best_candidate": "select child, slot, cand, n_errors, n_valid, n as n_candidates from slot_ranks where k = 1",
@@ -32,10 +36,11 @@ register(
         "seek_outcome": "select child, new_sire, new_dam, outcome from seek_outcomes",
         "seek_changes": "select *, case when coalesce(old_sire, -1) <> coalesce(new_sire, -1) or coalesce(old_dam, -1) <> coalesce(new_dam, -1) then 'CHANGED' else 'NOCHANGE' end as change from seek_outcomes",
         "seek_change": "select child, outcome, change from seek_changes",
-        # the new parents over all markers
+        # the new parents over all markers, of children with Mendelian errors
         "post_errors": """select o.child, count(*) as n_valid, cast(sum(case when c.g < (case when s.g = 2 then 1 else 0 end) + (case when d.g = 2 then 1 else 0 end)
               or c.g > (case when s.g >= 1 then 1 else 0 end) + (case when d.g >= 1 then 1 else 0 end) then 1 else 0 end) as bigint) as n_errors
             from seek_outcomes o join geno c on o.child = c.animal_id join geno s on o.new_sire = s.animal_id and c.snp_idx = s.snp_idx join geno d on o.new_dam = d.animal_id and c.snp_idx = d.snp_idx
+            join mendel_actions m on o.child = m.animal_id and m.action = 1
             where c.g is not null and s.g is not null and d.g is not null group by o.child""",
         "seek_checks": """select c.*, case when e.n_valid is null then 'PRE_NA' when e.n_valid >= $recheck_min and e.n_errors * 1.0e0 / e.n_valid <= 5 * $animal_error then 'POST_PASS' else 'POST_FAIL' end as post
             from seek_changes c left join post_errors e on c.child = e.child""",
@@ -56,6 +61,14 @@ register(
         "swap_prescan": "select m.a as child, m.b as mate, case when p.sire_id is not null and p.dam_id is not null then 'ID_SWAP' else 'CONTINUE' end as found from identity_mates m join ped p on m.b = p.animal_id",
     },
     {"min_age": 1, "compat_min": 8, "compat": "0.95e0", "g_tol": "0.40e0"},
+    {
+        "seek_children": "select a.animal_id, p.byr, p.sire_id, p.dam_id from mendel_actions a join ped p on a.animal_id = p.animal_id where a.action = 1",
+        "slots": "select child, cand, n_valid, n_errors, case when sex = 2 then 'sire' else 'dam' end as slot from kept_pairs where sex in (1, 2)",
+        "post_errors": """select o.child, count(*) as n_valid, cast(sum(case when c.g < (case when s.g = 2 then 1 else 0 end) + (case when d.g = 2 then 1 else 0 end)
+              or c.g > (case when s.g >= 1 then 1 else 0 end) + (case when d.g >= 1 then 1 else 0 end) then 1 else 0 end) as bigint) as n_errors
+            from seek_outcomes o join geno c on o.child = c.animal_id join geno s on o.new_sire = s.animal_id and c.snp_idx = s.snp_idx join geno d on o.new_dam = d.animal_id and c.snp_idx = d.snp_idx
+            where c.g is not null and s.g is not null and d.g is not null group by o.child""",
+    },
 )
 
 QUERIES = [

@@ -13,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 RELATIONS: dict[str, str | dict[str, str]] = {}
 DEFAULTS: dict[str, object] = {}
+#: Relations whose text over the driver's tables is another: there the given SQL fixes the rows.
+OVER_TABLES: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
-def register(relations: Mapping[str, str | dict[str, str]], defaults: Mapping[str, object] | None = None) -> None:
+def register(relations: Mapping[str, str | dict[str, str]], defaults: Mapping[str, object] | None = None, over_tables: Mapping[str, str] | None = None) -> None:
     if both := RELATIONS.keys() & relations.keys():
         raise ValueError(f"registered twice: {sorted(both)}")
     RELATIONS.update(relations)
     DEFAULTS.update(defaults or {})
+    OVER_TABLES.update(over_tables or {})
 
 
-def _text(name: str, dialect: str, parameters: Mapping[str, object]) -> str:
-    body = RELATIONS[name]
+def _text(name: str, dialect: str, parameters: Mapping[str, object], tables: bool) -> str:
+    body = OVER_TABLES.get(name, RELATIONS[name]) if tables else RELATIONS[name]
     body = body if isinstance(body, str) else body[dialect]
     if dialect == "spark":  # ranks are 64-bit, as elsewhere
         body = re.sub(r"row_number\(\) over (\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))", r"cast(row_number() over \1 as bigint)", body)
@@ -35,8 +38,8 @@ def _words(text: str) -> set[str]:
     return set(re.findall(r"\b[a-z_]\w*\b", re.sub(r"'[^']*'", "''", text)))
 
 
-def resolve(name: str, dialect: str, given: set[str] = frozenset(), parameters: Mapping[str, object] | None = None) -> tuple[str, set[str]]:
-    """The WITH query of a relation, and the given frames and base tables that it reads."""
+def resolve(name: str, dialect: str, given: set[str] = frozenset(), parameters: Mapping[str, object] | None = None, tables: bool = False) -> tuple[str, set[str]]:
+    """The WITH query of a relation, and the given frames and base tables that it reads. tables: over the driver's tables."""
     parameters = {**DEFAULTS, **(parameters or {})}
     order: list[tuple[str, str]] = []
     reads: set[str] = set()
@@ -49,7 +52,7 @@ def resolve(name: str, dialect: str, given: set[str] = frozenset(), parameters:
         if one in given or one not in RELATIONS:
             reads.add(one)
             return
-        text = _text(one, dialect, parameters)
+        text = _text(one, dialect, parameters, tables)
         used = _words(text)
         for other in sorted(used & (RELATIONS.keys() | given | set(TABLES)) - {one}):
             if re.search(rf"\b(from|join)\s+{other}\b", text):
@@ -64,7 +67,10 @@ def resolve(name: str, dialect: str, given: set[str] = frozenset(), parameters:
 
 def run(spark: SparkSession, name: str, parameters: Mapping[str, object] | None = None, **frames: DataFrame) -> DataFrame:
     """The relation over the caller's frames."""
-    text, reads = resolve(name, "spark", set(frames), parameters)
+    return _run(spark, name, frames, *resolve(name, "spark", set(frames), parameters))
+
+
+def _run(spark: SparkSession, name: str, frames: Mapping[str, DataFrame], text: str, reads: set[str]) -> DataFrame:
     for one in sorted(reads):
         if one not in frames:
             raise ValueError(f"{name} needs a frame {one}")
@@ -74,10 +80,10 @@ def run(spark: SparkSession, name: str, parameters: Mapping[str, object] | None
 
 def over_tables(spark: SparkSession, sf_dir: str, name: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
     """The relation over the driver's tables, from which the genotype views are derived."""
-    _, reads = resolve(name, "spark", set(), parameters)
-    return run(spark, name, parameters, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in reads})
+    text, reads = resolve(name, "spark", set(), parameters, tables=True)
+    return _run(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in reads}, text, reads)
 
 
 def oracle(name: str, parameters: Mapping[str, object] | None = None) -> str:
     """The relation for DuckDB, over views of the driver's tables."""
-    return resolve(name, "duckdb", set(), parameters)[0]
+    return resolve(name, "duckdb", set(), parameters, tables=True)[0]

@@ -134,3 +134,17 @@ def test_hap_windows_of_many_markers(spark):
     geno = snp_map.crossJoin(spark.range(1, 4).withColumnRenamed("id", "animal_id")).select("animal_id", "snp_idx", F.lit(1).alias("g"))
     panel = engine.run(spark, "hap_panel", snp_map=snp_map, filled=geno).collect()
     assert len(panel) == len(got) and all(r.n == 3 for r in panel)
+
+
+def test_parents_are_sought_for_sex_conflicts(spark):
+    """Children by action or sex conflict, and candidates of unknown sex in both slots."""
+    ped = spark.createDataFrame([(1, 2005, 1, 9, 8), (2, 2005, 2, 9, 8), (3, 2005, 1, 9, 8), (4, 2005, 1, 9, 8), (5, 2000, None, None, None), (6, 2000, 0, None, None), (7, 2000, 2, None, None)], "animal_id long, byr int, sex int, sire_id long, dam_id long")
+    actions = spark.createDataFrame([(1, 1), (2, 0), (3, 3), (4, 0)], "animal_id long, action int")
+    checks = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0), (5, 2), (6, 0), (7, 0)], "animal_id long, sex_qc int")
+    geno = spark.createDataFrame([(a, s, 1 + (s % 4 == 0)) for a in range(1, 8) for s in range(1, 31)], "animal_id long, snp_idx int, g int")
+    panel = spark.createDataFrame([(s, 0.5) for s in range(1, 31)], "snp_idx int, maf double")
+    frames = {"ped": ped, "mendel_actions": actions, "sex_checks": checks, "geno": geno, "panel": panel}
+    assert {r.animal_id for r in engine.run(spark, "seek_children", **frames).collect()} == {1, 2, 3}
+    got = {(r.cand, r.slot) for r in engine.run(spark, "cand_slot", **frames).where("child = 2").collect()}
+    assert got == {(5, "sire"), (5, "dam"), (6, "sire"), (6, "dam"), (7, "sire")}
+    assert {r.child: r.post for r in engine.run(spark, "seek_post_mendel", **frames).collect()} == {1: "POST_PASS", 2: "PRE_NA", 3: "PRE_NA"}
