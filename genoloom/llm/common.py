@@ -114,4 +114,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = signature(now)
         if seen == was:
             break
+    else:
+        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     return now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from genoloom.llm import simhash as S
+from genoloom.llm.common import components
 
 
 def brute_fp(text, n=3):
@@ -183,3 +184,10 @@ def test_near_duplicates_count_no_repeats(spark):
     got = classes_of(spark, texts)
     assert [got[i] for i in range(40)] == list(range(40))
     assert [got[i] for i in range(40, 80)] == [i - i % 2 for i in range(40, 80)]
+
+
+def test_components_end_at_a_fixed_point(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        components(path, max_rounds=1)
+    assert {(r.node, r.root) for r in components(path).collect()} == {(i, 0) for i in range(1, 65)}
