@@ -21,12 +21,13 @@ def recall(got, want):
     return hit / sum(map(len, want.values()))
 
 
-def test_query_reaches_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_query_reaches_recall(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
     want = brute(ids, x, {i for i in ids if i % 20 == 0})
     got, scores = {}, {}
-    for r in A.op9_nearest_neighbours(spark, "/root/testdata/sf0.01").orderBy("query_id", "rank").collect():
+    for r in A.op9_nearest_neighbours(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
         scores[r.query_id, r.vec_id] = r.score
         assert r["rank"] == len(got[r.query_id])
@@ -67,3 +68,33 @@ def test_edges(spark):
     ]
     assert A.search(vectors.limit(0), vectors).count() == 0
     assert A.search(vectors, vectors.limit(0)).count() == 0
+
+
+def test_every_length_is_searched(spark):
+    """Vectors meet those of their own length, whichever is most frequent."""
+    rows = [(i, [1.0, float(i)]) for i in range(1, 20)] + [(20, [2.0]), (40, [3.0]), (60, [1.0, 1.0]), (20, [2.0]), (80, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in A.search(vectors, vectors.where("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 40, 6.0), (40, 1, 20, 6.0), (60, 1, 19, 20.0), (60, 2, 18, 19.0), (60, 3, 17, 18.0)]
+
+
+def test_narrow_walk_is_widened(spark, monkeypatch):
+    """Leaves of fewer than k candidates: a query opens more of them, and blocks without queries give nothing."""
+    fit = A.fit
+    monkeypatch.setattr(A, "fit", lambda *a, **k: A.Tree(**{**vars(fit(*a, **k, leaf_size=8)), "visits": 1}))
+    monkeypatch.setattr(A, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(60, 8)) * 10, 15, axis=0) + rng.normal(size=(900, 8)) / 100
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for queries in ("vec_id in (20, 800)", "vec_id % 20 = 0", "false"):
+        asked = vectors.where(queries)
+        got = A.search(vectors, asked).groupBy("query_id").count().collect()
+        assert len(got) == asked.count() and all(r["count"] == 20 for r in got)
+
+
+def test_calibration_holds_queries_out():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 16))
+    tree = A.fit(x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    assert 1 < tree.visits <= tree.leaves
+    assert A.fit(x[:1], 1.0).visits == 1 and A.fit(x[:0], 1.0).leaves == 1
