@@ -7,13 +7,13 @@ and are left out, the others go to the shard that owns the key, each distinct on
 Within a shard: suffixes are classified, leftmost-smaller (LMS) substrings sorted by induction and named, the string of
 names is sorted, and the whole array induced from it. Induction runs bucket by bucket, each bucket's entries at once. The
 names' suffixes are sorted by doubling ranks, not by induction again: an alphabet as large as its string has buckets
-of one entry. Prefixes common with the neighbour in the array are computed in text order (permuted), up to the window.
+of one entry. Prefixes common with the neighbour in the array are computed in text order (permuted): irreducible ones by
+comparison up to the window, the others carried from the position before. Equality is always that of the bytes.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scan_partitions, table
-from .units import Replies, Rolling, Shared, Unit, ask, each_unit, in_several, make_units, mix, told
+from .segments import Sent, compared, refined
+from .units import Replies, Rolling, Shared, Unit, ask, each_unit, in_several, make_units, mix, sliding, told
 
 WINDOW = 200
 #: Bytes of the grams whose least hash is a window's key.
@@ -120,26 +121,31 @@ def _names(s: np.ndarray, up: np.ndarray, is_lms: np.ndarray, sorted_lms: np.nda
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _rank_suffixes(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of names by their first depth symbols at least (all if None), by doubling ranks."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        order = np.argsort(rank)  # equal ranks may stand in any order
-        ordered = rank[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or (depth is not None and k >= depth):
-            return order
-        following = np.zeros(n, np.int64)
-        following[: n - k] = rank[k:] + 1 if k < n else 0
-        rank = rank * (n + 1) + following
+def _rank_suffixes(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of names, by doubling ranks; only suffixes whose rank is still shared are sorted again."""
+    n, k = len(names), 1
+    order = np.argsort(names, kind="stable")
+    fresh = np.append(True, names[order[1:]] != names[order[:-1]])
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
+    open_at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # places of suffixes whose rank is shared
+    while len(open_at):
+        members = order[open_at]
+        own, ahead = rank[members], members + k
+        following = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = own * (n + 1) + following
+        by = np.argsort(key)
+        order[open_at], key = members[by], key[by]
+        fresh = np.append(True, key[1:] != key[:-1])
+        rank[order[open_at]] = open_at[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+        open_at = open_at[~(fresh & np.append(fresh[1:], True))]
         k *= 2
+    return order
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of s, integers of which the last is a unique least 0. With depth only the order by the first depth
-    symbols is sure; suffixes that agree on those stand together."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of s, integers of which the last is a unique least 0."""
     s = np.asarray(s)
     s = s.astype(np.int16 if s.max() < 1 << 15 else np.int64)  # short symbols are sorted by radix
     if len(s) == 1:
@@ -154,38 +160,45 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     sorted_lms = approximate[is_lms[approximate]]
     names = np.empty(len(s), np.int64)
     names[sorted_lms] = _names(s, up, is_lms, sorted_lms, ends)
-    # a name stands for two symbols at least, so half as many names decide depth symbols
-    order = _rank_suffixes(names[lms], None if depth is None else depth // 2 + 2)
+    order = _rank_suffixes(names[lms])
     return induce(s, up, lms[order], size)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the symbols (at most `most`) that its suffix shares with its predecessor in the array."""
+    """For each position, the symbols (at most `most`) that its suffix shares with its predecessor in the array.
+
+    Only irreducible values are compared: where the symbols before a suffix and before its predecessor are equal, those two
+    suffixes are neighbours as well, so the value is one less than that of the position before, and is carried. Comparisons
+    end after twice `most` symbols, and a value is carried over less than `most` positions.
+    """
     n = len(s)
     before = np.empty(n, sa.dtype)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n - 1
-    padded = np.concatenate([s.astype(np.int64), np.full(8, -1)])
-    # eight symbols of nine bits at a time don't fit a word; seven do
-    word = np.zeros(n, np.int64)
-    for k in range(7):
-        word = (word << 9) | (padded[k : k + n] + 1)
-    out, alive, d = np.zeros(n, np.int32), np.arange(n), 0
-    alive = alive[alive != sa[0]]
-    while len(alive) and d < most:
-        a, b = alive + d, before[alive] + d
-        inside = np.maximum(a, b) < n
-        equal = inside.copy()
-        equal[inside] = word[a[inside]] == word[b[inside]]
-        ended, a, b = alive[~equal], a[~equal], b[~equal]
-        going = np.ones(len(ended), bool)
-        for k in range(7):
-            going &= (np.maximum(a, b) + k < n) & (padded[np.minimum(a + k, n + 7)] == padded[np.minimum(b + k, n + 7)])
-            out[ended[going]] = d + k + 1
-        alive = alive[equal]
+    apart = np.ones(n, bool)  # irreducible
+    apart[1:] = (before[1:] == 0) | (s[:-1] != s[before[1:] - 1])
+    apart[sa[0]] = True
+    place = np.arange(n)
+    apart |= (place - np.maximum.accumulate(np.where(apart, place, 0))) % most == 0  # nothing is carried further than `most`
+    # symbols have nine bits, seven of them a word; no two suffixes agree up to the unique last symbol
+    padded = np.concatenate([s.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    word = padded[:n].copy()
+    for k in range(1, 7):
+        word = (word << 9) | padded[k : k + n]
+    value, d = np.zeros(n, np.int32), 0
+    alive = np.flatnonzero(apart & (np.arange(n) != sa[0]))
+    while len(alive) and d < 2 * most:
+        other = word[alive + d] ^ word[before[alive] + d]
+        ended = other != 0
+        differs, same = other[ended], np.full(int(ended.sum()), d, np.int32)
+        for k in range(1, 7):
+            same += (differs >> (9 * (7 - k))) == 0
+        value[alive[ended]] = same
+        alive = alive[~ended]
         d += 7
-        out[alive] = d
-    return np.minimum(out, most)
+        value[alive] = d
+    last = np.maximum.accumulate(np.where(apart, place, 0))
+    return np.minimum(np.maximum(value[last] - (place - last), 0), most)
 
 
 def repeated_starts(texts: list[bytes], weights: list[int], window: int) -> list[np.ndarray]:
@@ -195,7 +208,7 @@ def repeated_starts(texts: list[bytes], weights: list[int], window: int) -> list
     joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + 2
     joined[starts + sizes] = 1  # parts texts
     s = np.append(joined, np.int16(0))
-    sa = suffix_array(s, window)
+    sa = suffix_array(s)
     common = permuted_common_prefixes(s, sa, window)
     text = np.append(np.repeat(np.arange(len(texts)), sizes + 1), 0)
     room = np.append(np.repeat(starts + sizes, sizes + 1), 0) - np.arange(len(s))  # symbols to the text's end
@@ -216,19 +229,11 @@ class Segments:
     def __init__(self, unit: Unit, window: int, gram: int):
         b = unit.bytes
         self.unit, n, width = unit, len(b) - window + 1, window - gram + 1
-        grams = mix(Rolling(b.astype(np.uint64) + np.uint64(1)).every(gram))
+        self.grams = grams = mix(Rolling(b.astype(np.uint64) + np.uint64(1)).every(gram))
         if n <= 0:
             self.starts = self.ends = np.zeros(0, np.int64)
             self.keys, self.inner = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
-
-        def sliding(x: np.ndarray, size: int, pick: Callable) -> np.ndarray:
-            span, count = 1, len(x) - size + 1
-            while 2 * span <= size:
-                x = pick(x[: len(x) - span], x[span:])
-                span *= 2
-            return pick(x[:count], x[size - span : size - span + count])
-
         keys = sliding(grams, width, np.minimum)
         valid = np.zeros(len(b) + 1, np.int32)
         fits = unit.ends - unit.starts >= window
@@ -253,69 +258,15 @@ class Segments:
         return Shared(self.keys >> np.uint64(32), self.keys.astype(np.uint32), buckets)
 
 
-class Sent:
-    """Distinct segments of a unit that may hold repeats, in the order in which each bucket gets them."""
-
-    def __init__(self, segments: Segments, replies: Replies, buckets: int):
-        shared = segments.candidates(buckets)
-        pick = np.flatnonzero(shared.repeated(replies) | segments.inner)
-        starts, ends = segments.starts[pick], segments.ends[pick]
-        content = mix(Rolling(segments.unit.bytes.astype(np.uint64) + np.uint64(1)).of(starts, ends) + (ends - starts).astype(np.uint64))
-        bucket = ((segments.keys[pick] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((starts, content, bucket))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-        group = np.cumsum(fresh) - 1
-        self.starts, self.ends = starts, ends  # of every candidate segment
-        self.kind = np.empty(len(order), np.int64)  # and its place among the distinct ones
-        self.kind[order] = group
-        chosen = order[fresh]
-        self.kind_starts, self.kind_ends, self.kind_bucket = starts[chosen], ends[chosen], bucket[chosen]
-        self.kind_weight = np.minimum(np.bincount(group, minlength=len(chosen)), 2) if len(chosen) else np.zeros(0, np.int64)
-
-    def cuts(self) -> Iterator[tuple[int, int, int]]:
-        """(bucket, first, end) among the distinct segments."""
-        edges = [0, *(np.flatnonzero(np.diff(self.kind_bucket)) + 1).tolist(), len(self.kind_bucket)]
-        for s, e in zip(edges, edges[1:], strict=False):
-            if e > s:
-                yield int(self.kind_bucket[s]), s, e
-
-    def messages(self, data: bytes) -> Iterator[tuple[int, bytes]]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for bucket, s, e in self.cuts():
-            a, z = self.kind_starts[s:e], self.kind_ends[s:e]
-            body = b"".join([data[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)])
-            yield bucket, struct.pack("<I", e - s) + (z - a).astype("<u4").tobytes() + self.kind_weight[s:e].astype(np.uint8).tobytes() + pack(body)
-
-
-def _shard(window: int) -> Callable[[list[bytes]], list[bytes]]:
-    """Answers each message of segments with a bit for each of their windows, all segments after one another."""
-
-    def answer(messages: list[bytes]) -> list[bytes]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        texts: dict[bytes, int] = {}
-        weights: list[int] = []
-        held: list[list[int]] = []
-        for m in messages:
-            (n,) = struct.unpack_from("<I", m)
-            sizes, own = np.frombuffer(m, "<u4", n, 4).tolist(), np.frombuffer(m, np.uint8, n, 4 + 4 * n).tolist()
-            body, at, ids = unpack(m[4 + 5 * n :]), 0, []
-            for size, w in zip(sizes, own, strict=True):
-                k = texts.setdefault(body[at : at + size], len(texts))
-                if k == len(weights):
-                    weights.append(0)
-                weights[k] += w
-                ids.append(k)
-                at += size
-            held.append(ids)
-        found = repeated_starts(list(texts), weights, window)
-        return [np.packbits(np.concatenate([found[k] for k in ids])).tobytes() for ids in held]
-
-    return answer
+def _sent(unit: Unit, replies: Replies, window: int, gram: int, buckets: int) -> tuple[np.ndarray, Sent]:
+    """Starts of the segments that may hold repeats, and what of them is sent."""
+    segments = Segments(unit, window, gram)
+    shared = segments.candidates(buckets)
+    pick = np.flatnonzero(shared.repeated(replies) | segments.inner)
+    starts, count, data = segments.starts[pick], (segments.ends - segments.starts)[pick] - window + 1, unit.bytes.tobytes()
+    starts, count, keys = refined(segments.grams, window - gram + 1, starts, count, segments.keys[pick], shared.hot(replies)[pick])
+    contents = [data[s:e] for s, e in zip(starts.tolist(), (starts + count + window - 1).tolist(), strict=True)]
+    return starts, Sent(contents, keys, count, buckets)
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -334,18 +285,12 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         return Segments(unit, window, gram).candidates(buckets).messages()
 
     def send_segments(unit: Unit, replies: list[Replies]) -> Iterator[tuple[int, bytes]]:
-        return Sent(Segments(unit, window, gram), replies[0], buckets).messages(unit.bytes.tobytes())
+        return _sent(unit, replies[0], window, gram, buckets)[1].messages()
 
     def cut(unit: Unit, replies: list[Replies]) -> Iterator[pa.RecordBatch]:
-        sent = Sent(Segments(unit, window, gram), replies[0], buckets)
-        counts = sent.kind_ends - sent.kind_starts - window + 1
-        bits = [np.unpackbits(np.frombuffer(replies[1][b], np.uint8), count=int(counts[s:e].sum())) for b, s, e in sent.cuts()]
-        again = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
-        base = np.cumsum(counts) - counts  # where a distinct segment's windows stand in again
-        n = (sent.ends - sent.starts - window + 1)
-        run = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        hit = (sent.starts[run] + inside)[again[base[sent.kind[run]] + inside]]
+        starts, sent = _sent(unit, replies[0], window, gram, buckets)
+        segment, inside = sent.repeated(replies[1])
+        hit = starts[segment] + inside
         change = np.zeros(len(unit.bytes) + 1, np.int32)
         change[hit] += 1  # starts are distinct
         change[hit + window] -= 1
@@ -359,7 +304,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(unit.doc_ids, pa.int64()), pa.array(unit.ends - unit.starts, pa.int64()), of(removed), of(spans), pa.array(texts, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     first = ask(told(units, []), send_keys, in_several(np.uint32), partitions)
-    second = ask(told(units, [first]), send_segments, _shard(window), partitions)
+    second = ask(told(units, [first]), send_segments, compared(lambda texts, weights: repeated_starts(texts, weights, window)), partitions)
     return each_unit(told(units, [first, second]), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").drop("unit")
 
 

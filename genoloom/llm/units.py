@@ -3,12 +3,15 @@
 A unit holds a few megabytes of documents and has a stable number, because it is written before it is used. To learn
 which of its fingerprints occur elsewhere, a unit sends each distinct one once, to the bucket that owns it; the bucket
 answers every unit with one bit per fingerprint. A key in a third of all documents costs a bucket one
-fingerprint per unit, and answers are an eighth of a byte each.
+fingerprint per unit, and answers are an eighth of a byte each. Hashes only choose what is compared: see segments.py.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,38 +23,41 @@ from .common import whole_texts, written
 
 #: Text of a unit; a longer document is a unit of its own.
 UNIT_BYTES = 2 << 20
+#: Units that may hold a key before it is hot: its segments are then dealt to many buckets.
+HOT = 32
 #: Units for each bucket.
 UNITS_PER_BUCKET = 4
 
-_R1, _R2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[bool, np.ndarray] = {}
 
 
-def _powers(n: int, base: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or those of its inverse; kept for the worker's life."""
-    key = (base, inverse)
-    if key not in _POWERS or len(_POWERS[key]) < n:
-        step = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The base to 0 .. n - 1 modulo 2**64, or those of its inverse; kept for the worker's life."""
+    if inverse not in _POWERS or len(_POWERS[inverse]) < n:
+        step = np.full(max(n, 1 << 16), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
         step[0] = 1
-        _POWERS[key] = np.cumprod(step)
-    return _POWERS[key][:n]
+        _POWERS[inverse] = np.cumprod(step)
+    return _POWERS[inverse][:n]
 
 
 class Rolling:
-    """Hashes of any stretch of a sequence of unsigned 64-bit values, equal for equal stretches wherever they stand."""
+    """Hashes of any stretch of a sequence of unsigned 64-bit values, equal for equal stretches wherever they stand.
 
-    def __init__(self, values: np.ndarray, second: bool = False):
-        self.base = _R2 if second else _R1
+    Unequal stretches may have equal hashes, and there are texts made to: hashes find candidates and decide nothing.
+    """
+
+    def __init__(self, values: np.ndarray):
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(len(values), self.base), out=self.sums[1:])
+        np.cumsum(values * _powers(len(values)), out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * _powers(len(self.sums), self.base, True)[starts]
+        return (self.sums[ends] - self.sums[starts]) * _powers(len(self.sums), True)[starts]
 
     def every(self, size: int) -> np.ndarray:
         """Of each stretch of that size."""
         n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:n]) * _powers(len(self.sums), self.base, True)[:n] if n > 0 else np.zeros(0, np.uint64)
+        return (self.sums[size:] - self.sums[:n]) * _powers(len(self.sums), True)[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,31 +134,32 @@ def each_unit(df: DataFrame, work: Callable[[Unit, list[Replies]], Iterator[pa.R
     return df.mapInArrow(run, "unit long, " + schema)
 
 
-def ask(df: DataFrame, send: Callable[[Unit, list[Replies]], Iterator[tuple[int, bytes]]], answer: Callable[[list[bytes]], list[bytes]], partitions: int) -> DataFrame:
-    """Replies (unit, reply array<struct<bucket, answer>>), written: send gives a unit's messages by bucket, answer the
-    answers to all messages of one bucket, in their order."""
+Answer = Callable[[Iterator[bytes]], Iterator[bytes]]
+
+
+def ask(df: DataFrame, send: Callable[[Unit, list[Replies]], Iterator[tuple[int, bytes]]], answer: Answer, partitions: int) -> DataFrame:
+    """Replies (unit, reply array<struct<bucket, answer>>), written: send gives a unit's messages by bucket; answer reads the
+    messages of one bucket once, keeping what it needs of them, and yields an answer to each in their order."""
 
     def messages(unit: Unit, replies: list[Replies]) -> Iterator[pa.RecordBatch]:
         sent = list(send(unit, replies))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int64()), pa.array([m for _, m in sent], pa.binary())], ["bucket", "message"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        bucket = None
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for bucket, group in groupby(rows, key=itemgetter(0)):
+            units = array("q")
 
-        def said() -> pa.RecordBatch:
-            answers = answer([m for _, m in held])
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array(answers, pa.binary())], ["unit", "bucket", "answer"])
+            def read(group=group, units=units) -> Iterator[bytes]:
+                for _, unit, message in group:
+                    units.append(unit)
+                    yield message
 
-        for batch in batches:
-            for b, u, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if b != bucket and held:
-                    yield said()
-                    held = []
-                bucket = b
-                held.append((u, m))
-        if held:
-            yield said()
+            at = 0
+            for answers in batched(answer(read()), 4096):
+                to = units[at : at + len(answers)]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([bucket] * len(to), pa.int64()), pa.array(answers, pa.binary())], ["unit", "bucket", "answer"])
+                at += len(answers)
 
     dealt = each_unit(df, messages, "bucket long, message binary").select("bucket", "unit", "message").repartition(partitions, "bucket").sortWithinPartitions("bucket", "unit")
     answers = dealt.mapInArrow(run, "unit long, bucket long, answer binary")
@@ -181,28 +188,42 @@ class Shared:
             if e > s:
                 yield int(self.bucket[s]), self.value[s:e].tobytes()
 
-    def repeated(self, replies: Replies) -> np.ndarray:
-        """For each fingerprint, whether it occurs again."""
-        there = self.again.copy()
+    def _told(self, replies: Replies, plane: int) -> np.ndarray:
+        there = np.zeros(len(self.value), bool)
         cuts = np.flatnonzero(np.diff(self.bucket)) + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.bucket)], strict=True):
             if e > s:
-                there[s:e] |= np.unpackbits(np.frombuffer(replies[int(self.bucket[s])], np.uint8), count=e - s).astype(bool)
-        return there[self.group]
+                size = -(-(e - s) // 8)
+                there[s:e] = np.unpackbits(np.frombuffer(replies[int(self.bucket[s])], np.uint8, size, plane * size), count=e - s).astype(bool)
+        return there
 
+    def repeated(self, replies: Replies) -> np.ndarray:
+        """For each fingerprint, whether it occurs again."""
+        return (self._told(replies, 0) | self.again)[self.group]
+
+    def hot(self, replies: Replies) -> np.ndarray:
+        """For each fingerprint, whether more than HOT units have it."""
+        return self._told(replies, 1)[self.group]
 
-def in_several(dtype) -> Callable[[list[bytes]], list[bytes]]:
-    """Answers messages of distinct values with a bit for each that another message holds too."""
 
-    def answer(messages: list[bytes]) -> list[bytes]:
+def in_several(dtype) -> Answer:
+    """Answers messages of distinct values with a bit for each that another message holds too, then one for each that more than HOT hold."""
+    limit = HOT
+
+    def answer(messages: Iterator[bytes]) -> Iterator[bytes]:
         values = [np.frombuffer(m, dtype) for m in messages]
         kept, counts = np.unique(np.concatenate(values), return_counts=True)
-        shared = kept[counts > 1]
-        out = []
         for v in values:
-            at = np.searchsorted(shared, v)
-            at[at == len(shared)] = 0
-            out.append(np.packbits(shared[at] == v if len(shared) else np.zeros(len(v), bool)).tobytes())
-        return out
+            many = counts[np.searchsorted(kept, v)]
+            yield np.packbits(many > 1).tobytes() + np.packbits(many > limit).tobytes()
 
     return answer
+
+
+def sliding(x: np.ndarray, size: int, pick: Callable) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over each stretch of that size."""
+    span, count = 1, len(x) - size + 1
+    while 2 * span <= size:
+        x = pick(x[: len(x) - span], x[span:])
+        span *= 2
+    return pick(x[:count], x[size - span : size - span + count])

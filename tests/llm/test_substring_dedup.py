@@ -39,10 +39,11 @@ def test_covers():
         assert {(a - b) % v for a, b in itertools.product(cover, cover)} == set(range(v))
 
 
-@pytest.mark.parametrize("window", [3, 12, 35])
-def test_few_words(spark, monkeypatch, window):
-    """Chance repeats, overlaps within a document, equal rows and many small units."""
+@pytest.mark.parametrize(("window", "hot"), [(3, 32), (12, 1), (12, 32), (35, 0), (35, 2)])
+def test_few_words(spark, monkeypatch, window, hot):
+    """Chance repeats, overlaps within a document, equal rows, many small units and hot keys."""
     monkeypatch.setattr(U, "UNIT_BYTES", 500)
+    monkeypatch.setattr(U, "HOT", hot)
     rng = random.Random(window)
     texts = [" ".join(rng.choices("abc" if window < 35 else "ab", k=rng.randint(0, 60))) for _ in range(60)]
     shared = " ".join(rng.choices("abcdefgh", k=80))
@@ -67,3 +68,23 @@ def test_rolling_hashes():
         assert seen.setdefault(int(h[i]), x[i : i + 7].tobytes()) == x[i : i + 7].tobytes()
     assert len(seen) == len({x[i : i + 7].tobytes() for i in range(len(h))})
     assert (r.of(np.arange(10), np.arange(10) + 7) == h[:10]).all()
+
+
+def test_texts_of_equal_hashes(spark):
+    """Words that polynomial hashes modulo a power of two can't tell apart: a Thue-Morse word and its complement."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{same} {one}", f"{same} {two}", " ".join([one] * 40), " ".join([two] * 40)]
+    texts += [" ".join(["xy"[i.bit_count() % 2] for i in range(4096)]), " ".join(["yx"[i.bit_count() % 2] for i in range(4096)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in D.dedup_words(docs).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))
+    assert got[0][1] == got[1][1] == 0 and got[2][1] == 40
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(5)
+    words = [f"{rng.getrandbits(24):x}" for _ in range(400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(words[200_000:200_500]) + " !"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in D.dedup_words(docs).collect()} == {1: (400_000, 500), 2: (501, 500), 3: (1, 0)}

@@ -26,13 +26,18 @@ def test_suffix_array(n, k):
             assert common[b] == min(12, lcp)
 
 
-def test_limited_depth_keeps_equal_starts_together():
+@pytest.mark.parametrize("most", [5, 7, 20, 400])
+def test_long_repeats(most):
+    """Periods and repeats longer than any prefix that is asked for."""
     rng = random.Random(2)
     part = bytes(rng.choices(range(1, 5), k=60))
-    s = np.append(np.frombuffer(part * 9 + bytes(rng.choices(range(1, 5), k=300)) + part, np.uint8).astype(int), 0)
-    sa, data = S.suffix_array(s, 20), bytes(s.tolist())
-    starts = [data[i : i + 20] for i in sa]
-    assert starts == sorted(starts)
+    s = np.append(np.frombuffer(part * 9 + bytes(rng.choices(range(1, 5), k=300)) + part + b"\x02" * 90, np.uint8).astype(int), 0)
+    sa, data = S.suffix_array(s), bytes(s.tolist())
+    assert sa.tolist() == sorted(range(len(s)), key=lambda i: data[i:])
+    common = S.permuted_common_prefixes(s, sa, most)
+    for a, b in zip(sa.tolist(), sa.tolist()[1:], strict=False):
+        lcp = next(d for d in range(len(s)) if data[a + d] != data[b + d])
+        assert common[b] == min(most, lcp)
 
 
 def brute(texts, window):
@@ -57,10 +62,11 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(w[1] for w in want.values()) > 0
 
 
-@pytest.mark.parametrize(("window", "gram"), [(6, 2), (30, 8), (200, 24)])
-def test_hard_texts(spark, monkeypatch, window, gram):
-    """Chance repeats, periods, long runs of one character, multi-byte characters, equal rows and many small units."""
+@pytest.mark.parametrize(("window", "gram", "hot"), [(6, 2, 32), (6, 2, 1), (30, 8, 0), (200, 24, 1), (200, 24, 32)])
+def test_hard_texts(spark, monkeypatch, window, gram, hot):
+    """Chance repeats, periods, long runs of one character, multi-byte characters, equal rows, many small units and hot keys."""
     monkeypatch.setattr(U, "UNIT_BYTES", 600)
+    monkeypatch.setattr(U, "HOT", hot)
     rng = random.Random(window)
     texts = ["".join(rng.choices("ab" if window > 6 else "abcd", k=rng.randint(0, 90))) for _ in range(40)]
     shared = "".join(rng.choices("abcdefgh é", k=500))
@@ -77,3 +83,24 @@ def test_empty(spark):
     docs = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert [tuple(r) for r in S.dedup_bytes(docs).collect()] == [(None, 0, 0, 0, bytearray())]
     assert S.dedup_bytes(docs.limit(0)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_texts_of_equal_hashes(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo any power of two."""
+    one, two = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    assert (U.Rolling(np.frombuffer(one.encode(), np.uint8).astype(np.uint64)).every(4096) == U.Rolling(np.frombuffer(two.encode(), np.uint8).astype(np.uint64)).every(4096)).all()
+    docs = spark.createDataFrame(list(enumerate(["x" + one, two + "y"])), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.dedup_bytes(docs, 2100, 2080).collect()}
+    assert got == dict(enumerate(brute(["x" + one, two + "y"], 2100)))
+
+
+def test_texts_of_megabytes(spark):
+    """One document of many units' size, which repeats a part of another."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghij klmnop", k=3 << 20))
+    docs = spark.createDataFrame([(1, text), (2, text[1 << 20 : (1 << 20) + 5000] + "!"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in S.dedup_bytes(docs).collect()} == {1: (5000, 1), 2: (5000, 1), 3: (0, 0)}
