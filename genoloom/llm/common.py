@@ -77,14 +77,30 @@ def scan_partitions(df: DataFrame) -> int:
     return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of one key beyond which it is hot, and how many hot keys there can be at most.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """The inner join of left (`rows` rows, or more) with right, which has one row for each key and in `n` the rows of left that have it.
+
+    Rows of hot keys never meet in one task: a key is hot beyond HOT_ROWS and beyond a HOT_KEYS-th of all rows, so there are
+    fewer than HOT_KEYS of them, and their rows of right are broadcast. All other keys are joined by a shuffle.
+    """
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col("n") > limit).drop("n"))
+    cold = right.where(F.col("n") <= limit).drop("n")
+    few = left.join(hot.select(key), key, "left_anti")
+    return left.join(hot, key).unionByName(few.join(cold, key))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (src, dst): rows (node, root), root the smallest node reached.
 
-    Alternates large-star and small-star steps, each a partial minimum per node and a join, so that a hub's
-    neighbours are never gathered in one task. Every round is written to the shared folder and the one before it
-    deleted. Null ends are ignored; nodes without an edge to another node don't appear.
+    Alternates large-star and small-star steps, each a partial minimum per node and a join in which a hub's neighbours never
+    meet in one task (join_by_key). Every round is written to the shared folder and the one before it deleted. Null ends
+    are ignored; roots, and nodes without an edge to another node, don't appear. Raises where max_rounds don't reach a fixed point.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
@@ -101,15 +117,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen[0] == 0:
             break
         # large star: every neighbour above a node hangs on that node's smallest neighbour
-        both = now.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(now.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
-        least = both.groupBy("node").agg(F.min("other").alias("best")).select("node", F.least("node", "best").alias("best"))
-        large = both.where("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("best").alias("lo")).where("hi <> lo").distinct()
+        smaller = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("best"), F.lit(0).alias("n"))
+        above = now.groupBy("lo").agg(F.lit(None).cast(now.schema["lo"].dataType).alias("best"), F.count("*").alias("n"))
+        least = above.unionByName(smaller).groupBy("lo").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 0")
+        joined = join_by_key(now, least.withColumn("best", F.coalesce("best", "lo")), "lo", seen[0])
+        large = written(joined.select("hi", F.col("best").alias("lo")).distinct(), "edges")
         # small star: a node and all its smaller neighbours hang on the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("best"))
-        joined = large.join(least, "hi")
+        least = large.groupBy("hi").agg(F.min("lo").alias("best"), F.count("*").alias("n"))
+        joined = join_by_key(large, least, "hi", seen[0])
         small = joined.select(F.col("lo").alias("hi"), F.col("best").alias("lo")).union(joined.select("hi", F.col("best").alias("lo"))).where("hi <> lo").distinct()
         following = written(small, "edges")
-        delete(spark, now._scratch_path)
+        delete(now.sparkSession, now._scratch_path)
+        delete(now.sparkSession, large._scratch_path)
         was, now = seen, following
         seen = signature(now)
         if seen == was:

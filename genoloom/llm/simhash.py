@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, delete, table, whole_texts, written
+from .common import components, delete, join_by_key, table, whole_texts, written
 
 SEED = 42
 #: Fingerprints of a block that are compared in one piece; a larger block is dealt out as pairs of such pieces.
@@ -396,10 +396,19 @@ def classes(signed: DataFrame, radius: int) -> DataFrame:
     Equal fingerprints are one node, so copies cost a partial minimum and no pair. Null doc_ids take part in links;
     a class of null ids alone has a null component_id. An empty table gives no rows.
     """
-    nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     rooted = nodes.join(roots(nodes.select("fp"), radius), "fp")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return signed.join(rooted.join(best, "root").select("fp", "component_id"), "fp")
+    least, rows = _least_of_roots(rooted, "least"), nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_by_key(signed, written(least.select("fp", F.col("best").alias("component_id"), "n"), "classes"), "fp", rows)
+
+
+def _least_of_roots(rooted: DataFrame, value: str) -> DataFrame:
+    """rooted (root, value, ...) with `best`: the least value of each root, whose rows never meet in one task if it has many."""
+    best = written(rooted.groupBy("root").agg(F.min(value).alias("best"), F.count("*").alias("n")), "best")
+    rows = best.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = rooted.withColumnRenamed("n", "rows") if "n" in rooted.columns else rooted
+    out = join_by_key(held, best, "root", rows)
+    return out.withColumnRenamed("rows", "n")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,10 +476,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp
     radius = round(bits * apart + slack * math.sqrt(bits * apart * (1 - apart)))
     signed = written(set_signatures(docs, words, fp_words, similarity), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    nodes = written(signed.groupBy("sid", "fp").agg(least.alias("least"), F.min("key").alias("key"), F.max("size").alias("size")), "nodes")
+    nodes = written(signed.groupBy("sid", "fp").agg(least.alias("least"), F.min("key").alias("key"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
     short = signed.select(F.explode("prefix").alias("key"), "fp").distinct()
-    candidates = nodes.join(roots(written(nodes.select("fp").distinct(), "fps"), radius, 1 - apart, short), "fp")
+    candidates = nodes.drop("n").join(roots(written(nodes.select("fp").distinct(), "fps"), radius, 1 - apart, short), "fp")
     tree = components(written(confirmed(docs, candidates.select("key", "sid", "size", "root"), words, similarity), "confirmed"))
-    rooted = nodes.join(tree, nodes["sid"] == tree["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    return signed.select("key", "doc_id", "sid").join(rooted.join(best, "root").select("sid", F.col("best.key").alias("first_key")), "sid").drop("sid")
+    rooted = nodes.join(tree, nodes["sid"] == tree["node"], "left").select("sid", "least", "n", F.coalesce("root", "sid").alias("root"))
+    first = _least_of_roots(rooted, "least").select("sid", F.col("best.key").alias("first_key"), "n")
+    rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_by_key(signed.select("key", "doc_id", "sid"), written(first, "classes"), "sid", rows).drop("sid")

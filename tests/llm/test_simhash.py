@@ -191,3 +191,28 @@ def test_components_end_at_a_fixed_point(spark):
     with pytest.raises(RuntimeError):
         components(path, max_rounds=1)
     assert {(r.node, r.root) for r in components(path).collect()} == {(i, 0) for i in range(1, 65)}
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Chains through hubs, and joins whose keys are all hot, partly or not at all."""
+    import genoloom.llm.common as C
+
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500, i) for i in range(300, 420)] + [(i, 7) for i in range(600, 700)] + [(None, 3), (4, 4)]
+    want = {}
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                for i in y:
+                    want[i] = x
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(100)] + [(9, 1)], "k long, v long")
+    right = left.where("k < 9").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    plain = sorted(tuple(r) for r in left.join(right.drop("n"), "k").collect())
+    for limit in (0, 5, 20, 1000):
+        monkeypatch.setattr(C, "HOT_ROWS", limit)
+        monkeypatch.setattr(C, "HOT_KEYS", 10**9)
+        assert {r.node: r.root for r in components(edges).collect()} == {i: min(s) for i, s in want.items() if i != min(s)}
+        assert sorted(tuple(r) for r in C.join_by_key(left, right, "k", 101).collect()) == plain
