@@ -20,7 +20,7 @@ import numpy as np
 from .units import Answer, Replies, mix, sliding
 
 # What further hashes of a gram are salted with.
-SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F)
 
 
 def refined(grams: np.ndarray, width: int, first: np.ndarray, count: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from .common import whole_texts, written
 #: Text of a unit; a longer document is a unit of its own.
 UNIT_BYTES = 2 << 20
 #: Units that may hold a key before it is hot: its segments are then dealt to many buckets.
-HOT = 32
+HOT = 256
 #: Units for each bucket.
 UNITS_PER_BUCKET = 4
 

@@ -39,7 +39,7 @@ def test_covers():
         assert {(a - b) % v for a, b in itertools.product(cover, cover)} == set(range(v))
 
 
-@pytest.mark.parametrize(("window", "hot"), [(3, 32), (12, 1), (12, 32), (35, 0), (35, 2)])
+@pytest.mark.parametrize(("window", "hot"), [(3, 256), (12, 1), (12, 256), (35, 0), (35, 2)])
 def test_few_words(spark, monkeypatch, window, hot):
     """Chance repeats, overlaps within a document, equal rows, many small units and hot keys."""
     monkeypatch.setattr(U, "UNIT_BYTES", 500)

@@ -62,7 +62,7 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(w[1] for w in want.values()) > 0
 
 
-@pytest.mark.parametrize(("window", "gram", "hot"), [(6, 2, 32), (6, 2, 1), (30, 8, 0), (200, 24, 1), (200, 24, 32)])
+@pytest.mark.parametrize(("window", "gram", "hot"), [(6, 2, 256), (6, 2, 1), (30, 8, 0), (200, 24, 1), (200, 24, 256)])
 def test_hard_texts(spark, monkeypatch, window, gram, hot):
     """Chance repeats, periods, long runs of one character, multi-byte characters, equal rows, many small units and hot keys."""
     monkeypatch.setattr(U, "UNIT_BYTES", 600)
