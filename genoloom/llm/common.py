@@ -78,7 +78,7 @@ def scan_partitions(df: DataFrame) -> int:
 
 
 #: Rows of one key beyond which it is hot, and how many hot keys there can be at most.
-HOT_ROWS, HOT_KEYS = 1000, 100_000
+HOT_ROWS, HOT_KEYS = 100, 100_000
 
 
 def join_by_key(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:

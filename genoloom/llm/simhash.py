@@ -86,14 +86,15 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(differences, bits: int, shape: tuple[int, ...], radius: int) -> np.ndarray:
-    """Mask (shape) of the pairs at most radius apart. differences(b, keep): where bit b differs, at the flat words keep."""
+def within(differences, bits: int, shape: tuple[int, ...], radius: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Mask (shape) of the pairs at most radius apart. differences(b, keep): where bit b differs, at the flat words keep;
+    among: words of the pairs that are asked for, all if None."""
     width = max(1, (radius + 1).bit_length())
     start = (1 << width) - (radius + 1)  # adding radius + 1 more overflows
     size = math.prod(shape)
-    keep = np.arange(size)
-    counters = [np.full(size, _ONES if start >> k & 1 else np.uint64(0), np.uint64) for k in range(width)]
-    over = np.zeros(size, np.uint64)
+    keep = np.arange(size) if among is None else np.flatnonzero(among)
+    counters = [np.full(len(keep), _ONES if start >> k & 1 else np.uint64(0), np.uint64) for k in range(width)]
+    over = np.zeros(size, np.uint64) if among is None else ~among[keep]
     for b in range(bits):
         carry = differences(b, keep)
         for k in range(width):
@@ -144,24 +145,33 @@ def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
 
 def near_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of one group at most radius apart; rows sorted by group. All groups are compared at once, row i
-    with row i + d, for d up to the size of the largest."""
+    with row i + d, for d up to the size of the largest: the planes against themselves, shifted by d bits."""
     n = len(groups)
-    last = np.searchsorted(groups, groups, "right")
-    found = ([], [])
-    d, rows = 1, np.arange(n)
-    while True:
-        rows = rows[rows + d < last[rows]]
-        if not len(rows):
-            break
-        a, b = planes(fps[rows]), planes(fps[rows + d])
-        mask = within(lambda bit, keep, a=a, b=b: a[bit][keep] ^ b[bit][keep], a.shape[0], (1, a.shape[1]), radius)
-        _, at = _set_bits(mask)
-        at = at[at < len(rows)]
-        found[0].append(rows[at])
-        found[1].append(rows[at] + d)
-        d += 1
+    room = np.searchsorted(groups, groups, "right") - np.arange(n)  # rows from here to the group's end
     none = np.zeros(0, np.int64)
-    return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (none, none)
+    if not n:
+        return none, none
+    sliced = planes(fps)
+    words = sliced.shape[1]
+    most = int(room.max())
+    sliced = np.pad(sliced, ((0, 0), (0, most // 64 + 2)))
+    found = ([none], [none])
+    for d in range(1, most):
+        pairs = np.zeros(64 * words, bool)
+        pairs[:n] = room > d
+        among = np.packbits(pairs, bitorder="little").view(np.uint64)
+        q, r = divmod(d, 64)
+        low, high = np.uint64(r), np.uint64(64 - r)
+
+        def differences(bit, keep, q=q, r=r, low=low, high=high):
+            plane = sliced[bit]
+            other = plane[keep + q] if not r else (plane[keep + q] >> low) | (plane[keep + q + 1] << high)
+            return plane[keep] ^ other
+
+        _, at = _set_bits(within(differences, sliced.shape[0], (1, words), radius, among))
+        found[0].append(at)
+        found[1].append(at + d)
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -354,7 +364,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 
 def _compared(groups: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     size = np.bincount(groups)
-    big = size > 64
+    big = size > 128
     ends = np.cumsum(size)
     links_a, links_b = [], []
     small = np.flatnonzero(~big[groups])
