@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import engine
+from ..plans.scratch import stored
 from . import matrices, pedigree
 
 #: Animals of a block of the genomic products.
 BLOCK = 512
-#: Animals up to which a matrix is inverted, in one task.
-INVERSE_LIMIT = 20_000
+#: Animals up to which a matrix is inverted: one task holds the matrix and its inverse, 1.6 GB at the limit.
+INVERSE_LIMIT = 10_000
+#: Animals up to which every task gets the whole pedigree as arrays (24 bytes an animal), beyond that ancestors are walked by joins.
+PEDIGREE_LIMIT = 2_000_000
+#: Entries of a symmetric matrix up to which a system is solved in one task's arrays (100 bytes an entry).
+ENTRY_LIMIT = 4_000_000
+#: Markers up to which every task gets the counts of neighbouring genotypes (72 bytes a marker and distance).
+MARKER_LIMIT = 200_000
 
 
 def _parents(ped: DataFrame) -> DataFrame:
@@ -25,30 +34,18 @@ def _parents(ped: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the checkpoint folder if one is set."""
-    context = df.sparkSession.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if path:
-            context.setCheckpointDir(path)
-        elif context.master.startswith("local["):
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="genoloom-"))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint()
+    """df without its lineage."""
+    return stored(df, "cut")
 
 
 def generations(ped: DataFrame, most: int = 500) -> DataFrame:
     """(animal_id, gen): 0 for animals without children, a parent one more than its oldest child. Raises on a cycle."""
-    parents, gen = _parents(ped).cache(), ped.select("animal_id", F.lit(0).alias("gen"))
+    parents, gen = _parents(ped), ped.select("animal_id", F.lit(0).alias("gen"))
     frontier = gen
     for _ in range(most):
         # only animals that were raised in the last round can raise their parents
         raised = _cut(frontier.join(parents, "animal_id").groupBy(F.col("parent").alias("animal_id")).agg((F.max("gen") + 1).alias("gen")))
         if raised.isEmpty():
-            parents.unpersist()
             return gen
         gen = _cut(gen.union(raised).groupBy("animal_id").agg(F.max("gen").alias("gen")))
         frontier = raised
@@ -57,13 +54,12 @@ def generations(ped: DataFrame, most: int = 500) -> DataFrame:
 
 def contributions(ped: DataFrame, most: int = 500) -> DataFrame:
     """(animal_id, ancestor, v): share of each ancestor along every path, one generation a round; itself 1."""
-    parents = _parents(ped).select(F.col("animal_id").alias("ancestor"), "parent").cache()
+    parents = _parents(ped).select(F.col("animal_id").alias("ancestor"), "parent")
     frontier = ped.select("animal_id", F.col("animal_id").alias("ancestor"), F.lit(1.0).alias("v"))
     total = frontier
     for _ in range(most):
         frontier = _cut(frontier.join(parents, "ancestor").groupBy("animal_id", F.col("parent").alias("ancestor")).agg((F.sum("v") / 2).alias("v")))
         if frontier.isEmpty():
-            parents.unpersist()
             return total.groupBy("animal_id", "ancestor").agg(F.sum("v").alias("v"))
         total = total.union(frontier)
     raise ValueError("the pedigree has a cycle, or more generations than expected")
@@ -71,7 +67,7 @@ def contributions(ped: DataFrame, most: int = 500) -> DataFrame:
 
 def inbreeding(ped: DataFrame, contrib: DataFrame, most: int = 100) -> DataFrame:
     """(animal_id, f), settled from variances and contributions: each round is exact for one more generation."""
-    spark, contrib = ped.sparkSession, contrib.cache()
+    spark, contrib = ped.sparkSession, contrib
     f = ped.select("animal_id", F.lit(0.0).alias("f"))
     for _ in range(most):
         engine.RELATIONS.setdefault("f_next", pedigree.following("f_before"))
@@ -83,26 +79,193 @@ def inbreeding(ped: DataFrame, contrib: DataFrame, most: int = 100) -> DataFrame
     raise ValueError("inbreeding didn't settle")
 
 
-def cycle_guard(ped: DataFrame, most: int = 500) -> DataFrame:
-    """ped rows (animal_id, sire_id, dam_id) without the parent links that lie on a cycle.
+def cycle_guard(ped: DataFrame) -> DataFrame:
+    """ped rows (animal_id, sire_id, dam_id) without the parent links that lie on a cycle; all other links stay.
 
-    Leaves are peeled round by round: animals without known parents among the rest, and animals without children. What
-    can't be peeled lies on cycles or between them; links inside it are cleared.
+    Animals without parents or without children are peeled off until none is left to peel. In what remains the largest id that
+    reaches an animal is its colour; an animal that reaches its colour's animal in turn is on a cycle with it, and so are
+    the links between two such. They are cleared, the rest is peeled again, until nothing remains.
     """
-    links = _cut(_parents(ped))
-    for _ in range(most):
-        fewer = links.join(links.select(F.col("parent").alias("animal_id")).distinct(), "animal_id", "left_semi")
-        fewer = _cut(fewer.join(fewer.select(F.col("animal_id").alias("parent")).distinct(), "parent", "left_semi").select("animal_id", "parent"))
-        if fewer.count() == links.count():
+    links, bad = _cut(_parents(ped).distinct()), []
+    while True:
+        while True:  # peel
+            fewer = links.join(links.select(F.col("parent").alias("animal_id")).distinct(), "animal_id", "left_semi")
+            fewer = _cut(fewer.join(fewer.select(F.col("animal_id").alias("parent")).distinct(), "parent", "left_semi").select("animal_id", "parent"))
+            same, links = fewer.count() == links.count(), fewer
+            if same:
+                break
+        if links.isEmpty():
             break
-        links = fewer
-    bad = links.withColumn("bad", F.lit(True)).distinct()
-    out = ped
+        colour = links.select("animal_id").distinct().withColumn("colour", F.col("animal_id"))
+        while True:
+            pushed = links.join(colour, "animal_id").select(F.col("parent").alias("animal_id"), "colour")
+            new = _cut(colour.unionByName(pushed).groupBy("animal_id").agg(F.max("colour").alias("colour")))
+            moved = new.join(colour.withColumnRenamed("colour", "was"), "animal_id", "left").where("was is null or was < colour").isEmpty()
+            colour = new
+            if moved:
+                break
+        ends = colour.select(F.col("animal_id").alias("parent"), F.col("colour").alias("parent_colour"))
+        inside = _cut(links.join(colour, "animal_id").join(ends, "parent").where("colour = parent_colour").select("animal_id", "parent", "colour"))
+        on = colour.where("animal_id = colour").select("animal_id")
+        while True:
+            more = inside.join(on.select(F.col("animal_id").alias("parent")), "parent", "left_semi").select("animal_id")
+            wider = _cut(on.union(more).distinct())
+            same, on = wider.count() == on.count(), wider
+            if same:
+                break
+        looped = _cut(inside.join(on, "animal_id", "left_semi").join(on.select(F.col("animal_id").alias("parent")), "parent", "left_semi").select("animal_id", "parent"))
+        bad.append(looped)
+        links = _cut(links.join(looped, ["animal_id", "parent"], "left_anti"))
+    if not bad:
+        return ped.select("animal_id", "sire_id", "dam_id")
+    cleared = bad[0]
+    for more in bad[1:]:
+        cleared = cleared.union(more)
+    out = ped.select("animal_id", "sire_id", "dam_id")
     for c in ("sire_id", "dam_id"):
-        on = bad.select(F.col("animal_id"), F.col("parent").alias(c), F.col("bad").alias(f"bad_{c}"))
-        out = out.join(on, ["animal_id", c], "left").withColumn(c, F.when(F.col(f"bad_{c}").isNull(), F.col(c))).drop(f"bad_{c}")
-    return out.select(*ped.columns)
-
+        out = out.join(cleared.select("animal_id", F.col("parent").alias(c), F.lit(True).alias(f"bad_{c}")), ["animal_id", c], "left").withColumn(c, F.when(F.col(f"bad_{c}").isNull(), F.col(c)))
+    return out.select("animal_id", "sire_id", "dam_id")
+
+
+# ---- pedigrees as arrays
+
+class Pedigree:
+    """Ids, places of sire and dam (-1: none) and generation of every animal; parents stand before their children."""
+
+    def __init__(self, ped: DataFrame, gen: DataFrame, limit: int | None = None):
+        limit = PEDIGREE_LIMIT if limit is None else limit
+        held = ped.select("animal_id", "sire_id", "dam_id").join(gen, "animal_id").limit(limit + 1).toArrow()
+        if held.num_rows > limit:
+            raise ValueError(f"more than {limit} animals for one task's arrays")
+        held = held.sort_by([("gen", "descending"), ("animal_id", "ascending")])
+        self.ids = held["animal_id"].to_numpy()
+        order = np.argsort(self.ids)
+
+        def places(column: str) -> np.ndarray:
+            known = held[column].is_valid().to_numpy()
+            wanted = held[column].fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(self.ids, wanted, sorter=order), max(0, len(order) - 1))
+            found = order[at] if len(order) else at
+            return np.where(known & (self.ids[found] == wanted), found, -1) if len(order) else found
+
+        self.sire, self.dam = places("sire_id"), places("dam_id")
+
+    def levels(self) -> np.ndarray:
+        """Of each animal its distance from the farthest founder: a level rests only on those below."""
+        out = np.zeros(len(self.ids), np.int64)
+        for i, (s, d) in enumerate(zip(self.sire.tolist(), self.dam.tolist(), strict=True)):
+            out[i] = max(out[s] + 1 if s >= 0 else 0, out[d] + 1 if d >= 0 else 0)
+        return out
+
+    def variances(self, f: np.ndarray) -> np.ndarray:
+        """Mendelian sampling variances: 1 without parents, 3/4 less a quarter of F with one, 1/2 less a quarter of both with two."""
+        fs, fd = np.where(self.sire >= 0, f[self.sire], -1.0), np.where(self.dam >= 0, f[self.dam], -1.0)
+        return 0.5 - 0.25 * (fs + fd)
+
+    def times(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """A x for the relationship matrix A = T D T', by a sweep to the founders, a product, and a sweep back; x may have columns."""
+        w = np.array(x, float)
+        parents = list(zip(range(len(w)), self.sire.tolist(), self.dam.tolist(), strict=True))
+        for i, s, m in reversed(parents):
+            if s >= 0:
+                w[s] += 0.5 * w[i]
+            if m >= 0:
+                w[m] += 0.5 * w[i]
+        w = (w.T * d).T
+        for i, s, m in parents:
+            if s >= 0:
+                w[i] += 0.5 * w[s]
+            if m >= 0:
+                w[i] += 0.5 * w[m]
+        return w
+
+    def inbreeding_of(self, i: int, d: np.ndarray) -> float:
+        """The diagonal of A less 1: ancestors leave a queue youngest first, with all that reaches them summed up."""
+        share, queue, total = {i: 1.0}, [-i], -1.0
+        while queue:
+            j = -heapq.heappop(queue)
+            v = share.pop(j)
+            total += v * v * d[j]
+            for p in (int(self.sire[j]), int(self.dam[j])):
+                if p >= 0:
+                    if p not in share:
+                        heapq.heappush(queue, -p)
+                    share[p] = share.get(p, 0.0) + 0.5 * v
+        return total
+
+
+def inbreeding_levels(ped: DataFrame, gen: DataFrame) -> DataFrame:
+    """(animal_id, f), one level of the pedigree a round: its animals' ancestors are walked in parallel, each with its own queue."""
+    spark, arrays = ped.sparkSession, Pedigree(ped, gen)
+    level, f = arrays.levels(), np.zeros(len(arrays.ids))
+    for k in range(1, int(level.max(initial=0)) + 1):
+        now = np.flatnonzero(level == k)
+        shared = spark.sparkContext.broadcast((arrays, arrays.variances(f)))  # bounded by PEDIGREE_LIMIT
+
+        def walk(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            arrays, d = shared.value
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([arrays.inbreeding_of(i, d) for i in batch.column(0).to_pylist()], pa.float64())], ["i", "f"])
+
+        rows = spark.createDataFrame(pd.DataFrame({"i": now.astype("int64")})).repartition(spark.sparkContext.defaultParallelism if len(now) > 1000 else 1)
+        got = rows.mapInArrow(walk, "i long, f double").toArrow()
+        f[got["i"].to_numpy()] = got["f"].to_numpy()
+    return spark.createDataFrame(pd.DataFrame({"animal_id": arrays.ids.astype("int64"), "f": f}), "animal_id long, f double")
+
+
+def settled(ped: DataFrame, gen: DataFrame) -> DataFrame:
+    """(animal_id, f): by levels over arrays, or where the pedigree is too large for them by joins."""
+    if ped.count() <= PEDIGREE_LIMIT:
+        return inbreeding_levels(ped, gen)
+    return inbreeding(ped, _cut(contributions(ped)))
+
+
+def inbreeding_tabular(ped: DataFrame, gen: DataFrame, limit: int = 5000) -> DataFrame:
+    """(animal_id, f) by the dense table of relationships: a parent's row is half its own parents' rows. One task, `limit` animals."""
+    arrays = Pedigree(ped, gen, limit)
+    a = np.zeros((len(arrays.ids), len(arrays.ids)))
+    for i, (s, d) in enumerate(zip(arrays.sire.tolist(), arrays.dam.tolist(), strict=True)):
+        row = sum((0.5 * a[p, :i] for p in (s, d) if p >= 0), np.zeros(i))
+        a[i, :i] = a[:i, i] = row
+        a[i, i] = 1 + (0.5 * a[s, d] if s >= 0 and d >= 0 else 0.0)
+    return ped.sparkSession.createDataFrame(pd.DataFrame({"animal_id": arrays.ids.astype("int64"), "f": np.diag(a) - 1}), "animal_id long, f double")
+
+
+def _with_arrays(ped: DataFrame, gen: DataFrame, f: DataFrame):
+    arrays = Pedigree(ped, gen)
+    held = f.toArrow().to_pandas().set_index("animal_id")["f"]  # bounded by PEDIGREE_LIMIT
+    return ped.sparkSession.sparkContext.broadcast((arrays, arrays.variances(held.reindex(arrays.ids).to_numpy())))
+
+
+def relationship_columns(ped: DataFrame, gen: DataFrame, f: DataFrame, least: float = 1e-12, block: int = 256) -> DataFrame:
+    """(i, j, a) for i >= j by id: the relationship matrix, a block of its columns at a time from unit vectors. No ancestor is a join key."""
+    shared = _with_arrays(ped, gen, f)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, d = shared.value
+        order = np.argsort(arrays.ids)
+        for batch in batches:
+            wanted = batch.column(0).to_numpy()
+            for at in range(0, len(wanted), block):
+                some = order[np.searchsorted(arrays.ids, wanted[at : at + block], sorter=order)]
+                unit = np.zeros((len(arrays.ids), len(some)))
+                unit[some, np.arange(len(some))] = 1
+                y = arrays.times(unit, d)
+                i, j = np.nonzero((np.abs(y) > least) & (arrays.ids[:, None] >= arrays.ids[some][None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(arrays.ids[i]), pa.array(arrays.ids[some][j]), pa.array(y[i, j])], ["i", "j", "a"])
+
+    return ped.select("animal_id").mapInArrow(columns, "i long, j long, a double")
+
+
+def relationship_times(ped: DataFrame, gen: DataFrame, f: DataFrame, x: DataFrame) -> DataFrame:
+    """(animal_id, y) with y = A x, for x (animal_id, x), 0 where an animal has none."""
+    arrays, d = _with_arrays(ped, gen, f).value
+    held = x.toArrow().to_pandas().set_index("animal_id")["x"]  # bounded by PEDIGREE_LIMIT
+    y = arrays.times(held.reindex(arrays.ids).fillna(0.0).to_numpy(), d)
+    return ped.sparkSession.createDataFrame(pd.DataFrame({"animal_id": arrays.ids.astype("int64"), "y": y}), "animal_id long, y double")
+
+
+# ---- matrices
 
 def genomic_products(z: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, v) for i <= j: sums over markers of z_i z_j, from (animal_id, snp_idx, z), one pair of blocks a task.
@@ -129,30 +292,62 @@ def genomic_products(z: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("bi", "bj").cogroup(columns.groupBy("bi", "bj")).applyInPandas(multiply, "i long, j long, v double")
 
 
-def inverse(g: DataFrame, limit: int = INVERSE_LIMIT) -> DataFrame:
+def inverse(g: DataFrame, limit: int | None = None) -> DataFrame:
     """(i, j, v) for i <= j of the inverse of the symmetric (i, j, g); one task, so only up to `limit` animals."""
+    limit = INVERSE_LIMIT if limit is None else limit
     n = g.where("i = j").count()
     if n > limit:
         raise ValueError(f"{n} animals; an inverse is made for up to {limit}")
+    ids = np.array(sorted(r.i for r in g.where("i = j").select("i").collect()), np.int64)  # at most `limit`
 
-    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"i": [], "j": [], "g": []})])
-        ids = np.unique(np.concatenate([held["i"], held["j"]]))
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, held["i"]), np.searchsorted(ids, held["j"])
-        m[a, b] = m[b, a] = held["g"]
+        for b in batches:  # entries go into the matrix as they come
+            i, j = np.searchsorted(ids, b.column(0).to_numpy()), np.searchsorted(ids, b.column(1).to_numpy())
+            m[i, j] = m[j, i] = b.column(2).to_numpy()
         m = np.linalg.inv(m) if len(ids) else m
-        x, y = np.triu_indices(len(ids))
-        yield pd.DataFrame({"i": ids[x].astype("int64"), "j": ids[y].astype("int64"), "v": m[x, y]})
-
-    return g.select("i", "j", "g").coalesce(1).mapInPandas(invert, "i long, j long, v double")
-
-
-def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: float = 1e-9) -> DataFrame:
+        for k in range(len(ids)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids) - k, ids[k])), pa.array(ids[k:]), pa.array(m[k, k:])], ["i", "j", "v"])
+
+    return g.select("i", "j", F.col("g").cast("double")).repartition(1).mapInArrow(invert, "i long, j long, v double")
+
+
+def _solved_in_arrays(a: DataFrame, b: DataFrame, most: int, tolerance: float) -> DataFrame:
+    rows = a.select(F.lit(0).alias("kind"), "i", "j", F.col("v").cast("double").alias("v")).union(b.select(F.lit(1), "i", "i", F.col("y").cast("double")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches] or [[np.zeros(0, np.int64)] * 4]
+        kind, i, j, v = (np.concatenate([part[c] for part in parts]) for c in range(4))
+        ids = np.unique(i[kind == 1])
+        y = np.zeros(len(ids))
+        y[np.searchsorted(ids, i[kind == 1])] = v[kind == 1]
+        i, j, v = np.searchsorted(ids, i[kind == 0]), np.searchsorted(ids, j[kind == 0]), v[kind == 0]
+        other = i != j
+        rows, columns, values = np.concatenate([i, j[other]]), np.concatenate([j, i[other]]), np.concatenate([v, v[other]])
+        m = np.bincount(i[~other], weights=v[~other], minlength=len(ids))
+        x, r = np.zeros(len(ids)), y.copy()
+        p, rz, bb = r / m, float(r @ (r / m)), float(y @ y)
+        for _ in range(most):
+            if not rz or float(r @ r) <= tolerance**2 * bb:
+                break
+            ap = np.bincount(rows, weights=values * p[columns], minlength=len(ids))
+            step = rz / float(p @ ap)
+            x, r = x + step * p, r - step * ap
+            new = float(r @ (r / m))
+            p, rz = r / m + new / rz * p, new
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x)], ["i", "x"])
+
+    return rows.repartition(1).mapInArrow(solve, "i long, x double")
+
+
+def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: float = 1e-9, entries: int | None = None) -> DataFrame:
     """(i, x) with a x = b, for a symmetric positive definite (i, j, v), i >= j or i <= j once each, and b (i, y).
 
-    Jacobi-preconditioned; every product is a join and a sum, only scalars come to the driver.
+    Jacobi-preconditioned. Up to `entries` entries are solved in one task's arrays; beyond, every product is a join and a sum,
+    and only scalars come to the driver.
     """
+    if a.count() <= (ENTRY_LIMIT if entries is None else entries):
+        return _solved_in_arrays(a, b, most, tolerance)
     full = _cut(a.union(a.where("i <> j").select(F.col("j"), F.col("i"), "v")))
     m = full.where("i = j").select("i", F.col("v").alias("m"))
     state = _cut(b.join(m, "i").select("i", F.lit(0.0).alias("x"), F.col("y").alias("r"), (F.col("y") / F.col("m")).alias("p"), "m"))
@@ -161,108 +356,86 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: f
         if not bb or not rz:
             break
         ap = full.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("ap"))
-        joined = state.join(ap, "i").cache()
+        joined = state.join(ap, "i")
         alpha = rz / joined.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         stepped = joined.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "m")
         new, rr = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
         state = _cut(stepped.withColumn("p", F.col("r") / F.col("m") + (new / rz) * F.col("p")))
-        joined.unpersist()
         rz = new
         if rr <= tolerance**2 * bb:
             break
     return state.select("i", "x")
 
 
-def ld_fill(geno: DataFrame, counts: DataFrame, window: int = 3) -> DataFrame:
+# ---- fills
+
+def ld_fill(geno: DataFrame, own: DataFrame, counts: DataFrame, window: int = 3) -> DataFrame:
     """(animal_id, snp_idx, g) of the cells that were missing, filled left to right: a filled cell counts for those after it.
 
-    counts is ld_counts of geno, joined with the marker's own genotype counts; an animal is one task's row of genotypes, and
-    the counts, bounded by markers times distances, go to every task.
+    own: genotype counts of each marker (snp_idx, g, n); counts: those beside each neighbour (snp_idx, distance, neighbour, g, n). An
+    animal is one row of genotypes; a batch of animals goes marker by marker. Ties go to the smaller genotype.
     """
     spark = geno.sparkSession
-    own = engine.run(spark, "snp_g", geno=geno)
-    freq, near = {}, {}
-    for r in own.collect():  # three rows a marker
-        freq.setdefault(r.snp_idx, [0, 0, 0])[r.g] = r.n
-    for r in counts.collect():  # nine rows a marker and distance
-        near.setdefault((r.snp_idx, r.distance, r.neighbour), [0, 0, 0])[r.g] = r.n
-    shared = spark.sparkContext.broadcast((freq, near))
-
-    def fill(held: pd.DataFrame) -> pd.DataFrame:
-        freq, near = shared.value
-        held = held.sort_values("snp_idx")
-        now = {s: (None if pd.isna(g) else int(g)) for s, g in zip(held["snp_idx"], held["g"], strict=True)}
-        out = []
-        for s in list(now):
-            if now[s] is None and s in freq:
-                score = np.array(freq[s])
-                for d in range(-window, window + 1):
-                    if d and now.get(s + d) is not None:
-                        score = score + near.get((s, d, now[s + d]), [0, 0, 0])
-                now[s] = int(score.argmax())
-                out.append((int(held["animal_id"].iloc[0]), int(s), now[s]))
-        return pd.DataFrame(out, columns=["animal_id", "snp_idx", "g"])
-
-    return geno.select("animal_id", "snp_idx", "g").groupBy("animal_id").applyInPandas(fill, "animal_id long, snp_idx int, g int")
-
-
-# ---- queries
-
-def _frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {n: engine.over_tables(spark, sf_dir, n) for n in names}
-
-
-def _stepwise(spark: SparkSession, sf_dir: str, name: str, needs: str) -> DataFrame:
-    ped = _frames(spark, sf_dir, "ped")["ped"].cache()
-    if needs == "traced":
-        return engine.run(spark, name, ped=ped, traced=generations(ped))
-    contrib = _cut(contributions(ped))
-    if needs == "walked":
-        return engine.run(spark, name, ped=ped, contrib=contrib)
-    return engine.run(spark, name, ped=ped, contrib=contrib, settled=inbreeding(ped, contrib))
-
-
-def _blocked(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frames = _frames(spark, sf_dir, "geno", "grm_z")
-    return engine.run(spark, name, geno=frames["geno"], blocks=genomic_products(frames["grm_z"]))
-
-
-def g_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverse of the blended genomic matrix."""
-    return inverse(_blocked(spark, sf_dir, "grm")).withColumn("v", F.round("v", 5))
-
-
-def pcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solves the inverse relationship matrix against birth years."""
-    a = _stepwise(spark, sf_dir, "a_inv", "settled")
-    b = _frames(spark, sf_dir, "ped")["ped"].select(F.col("animal_id").alias("i"), F.col("byr").cast("double").alias("y"))
-    return conjugate_gradient(a, b, tolerance=1e-6).select(F.col("i").alias("animal_id"), F.round("x", 1).alias("x"))
-
-
-def ld_fill_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequential fill of every missing cell."""
-    frames = _frames(spark, sf_dir, "geno", "ld_counts")
-    return ld_fill(frames["geno"], frames["ld_counts"])
-
-
-def cycle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pedigree without cycles: here it has none, so every link stays."""
-    return cycle_guard(_frames(spark, sf_dir, "ped")["ped"].select("animal_id", "sire_id", "dam_id"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{name: partial(_stepwise, name=name, needs=needs) for needs, names in pedigree.STEPWISE.items() for name in names},
-    **{name: partial(_blocked, name=name) for name in matrices.BLOCKED},
-    "g_inverse": g_inverse,
-    "pcg": pcg,
-    "ld_fill": ld_fill_query,
-    "cycle_guard": cycle_query,
-}
-
-
-def oracles() -> dict[str, str]:
-    out = {name: engine.oracle(name) for names in pedigree.STEPWISE.values() for name in names}
-    out |= {name: engine.oracle(name) for name in matrices.BLOCKED}
-    # an iterative solution is right within a tolerance, which no hash of values allows: pcg has none
-    out["cycle_guard"] = engine.oracle("ped").rsplit("\nselect * from ped", 1)[0] + "\nselect animal_id, sire_id, dam_id from ped"
-    return out
+    markers = np.array([r.snp_idx for r in geno.select("snp_idx").distinct().orderBy("snp_idx").limit(MARKER_LIMIT + 1).collect()], np.int64)
+    if len(markers) > MARKER_LIMIT:
+        raise ValueError(f"more than {MARKER_LIMIT} markers in one chromosome set; fill them by parts")
+    at = lambda t, c: np.searchsorted(markers, t[c].to_numpy())
+    freq, near = np.zeros((len(markers), 3), np.int64), np.zeros((len(markers), 2 * window + 1, 3, 3), np.int64)
+    held = own.toArrow()  # three rows a marker
+    freq[at(held, "snp_idx"), held["g"].to_numpy()] = held["n"].to_numpy()
+    held = counts.toArrow()  # nine rows a marker and distance
+    near[at(held, "snp_idx"), held["distance"].to_numpy() + window, held["neighbour"].to_numpy(), held["g"].to_numpy()] = held["n"].to_numpy()
+    shared = spark.sparkContext.broadcast((markers, freq, near))
+    calls = F.array_sort(F.collect_list(F.struct("snp_idx", F.coalesce("g", F.lit(3)).alias("g"))))
+    wide = geno.groupBy("animal_id").agg(calls.alias("c")).select("animal_id", F.transform("c", lambda x: x["snp_idx"]).alias("s"), F.transform("c", lambda x: x["g"]).alias("g"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        markers, freq, near = shared.value
+        place = {s: k for k, s in enumerate(markers.tolist())}
+        for whole in batches:
+            for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                now = np.full((b.num_rows, len(markers)), 9, np.int8)  # 9: the animal lacks the marker
+                rows = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                now[rows, np.searchsorted(markers, b.column(1).flatten().to_numpy())] = b.column(2).flatten().to_numpy()
+                out = []
+                for s in np.flatnonzero((now == 3).any(axis=0) & freq.any(axis=1)).tolist():
+                    todo = np.flatnonzero(now[:, s] == 3)
+                    score = np.repeat(freq[s][None, :], len(todo), axis=0)
+                    for d in range(-window, window + 1):
+                        beside = place.get(int(markers[s]) + d) if d else None
+                        if beside is not None:
+                            g = now[todo, beside]
+                            known = g < 3
+                            score[known] += near[s, d + window, g[known]]
+                    best = score.argmax(axis=1)
+                    now[todo, s] = best
+                    out.append((todo, np.full(len(todo), markers[s]), best))
+                ids = b.column(0).to_numpy()
+                parts = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[parts[0]], pa.int64()), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.int32())], ["animal_id", "snp_idx", "g"])
+
+    return wide.mapInArrow(fill, "animal_id long, snp_idx int, g int")
+
+
+_made = engine.PYTHON.update
+_made({
+    "traced": (("ped",), lambda p, ped: generations(ped)),
+    "walked": (("ped",), lambda p, ped: contributions(ped)),
+    "settled": (("ped", "traced"), lambda p, ped, traced: settled(ped, traced)),
+    "levelled": (("ped", "traced"), lambda p, ped, traced: inbreeding_levels(ped, traced)),
+    "tabled": (("ped", "traced"), lambda p, ped, traced: inbreeding_tabular(ped, traced)),
+    "a_columns": (("ped", "traced", "settled"), lambda p, ped, traced, settled: relationship_columns(ped, traced, settled)),
+    "a_times": (("ped", "traced", "settled", "a_vector"), lambda p, ped, traced, settled, a_vector: relationship_times(ped, traced, settled, a_vector)),
+    "guarded": (("ped_cyclic",), lambda p, ped_cyclic: cycle_guard(ped_cyclic)),
+    "blocks": (("grm_z",), lambda p, grm_z: genomic_products(grm_z)),
+    "inverted": (("grm",), lambda p, grm: inverse(grm)),
+    "ld_fills": (("windowed",), lambda p, windowed: _ld_fills(p, windowed)),
+    "ld_filled": (("geno",), lambda p, geno: _ld_fills(p, geno)),
+    "solved": (("a_inv", "ped"), lambda p, a_inv, ped: conjugate_gradient(a_inv, ped.select(F.col("animal_id").alias("i"), F.col("byr").cast("double").alias("y")), tolerance=1e-6)),
+})
+
+
+def _ld_fills(parameters: dict, geno: DataFrame) -> DataFrame:
+    geno = _cut(geno)
+    own, counts = (engine.run(geno.sparkSession, n, parameters, geno=geno) for n in ("snp_g", "ld_counts"))
+    return ld_fill(geno, own, counts, int(parameters["ld_window"]))

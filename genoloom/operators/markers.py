@@ -53,13 +53,11 @@ register(
             case when count(*) >= $x_min and sum(2e0 * x.fa * (1 - x.fa)) > 0 then 1 - sum(case when g.g = 1 then 1e0 else 0e0 end) / sum(2e0 * x.fa * (1 - x.fa)) end as f
             from geno g join x_freqs x on g.snp_idx = x.snp_idx where g.g is not null group by g.animal_id""",
         "x_inbreeding_f": "select animal_id, n_x, n_het, round(f, 6) as f from x_inbreeding",
-        "sex_checks": """select p.animal_id, p.sex, case when x.f is null then -1 when x.f > 0.8e0 then case when p.sex = 1 then 1 else 0 end
-            when x.f < $female_f then case when p.sex = 2 then 1 else 0 end else 2 end as sex_qc from ped p left join x_inbreeding x on p.animal_id = x.animal_id""",
+        "sex_checks": """select g.animal_id, p.sex, case when x.f is null then -1 when x.f > 0.8e0 then case when p.sex = 1 then 1 else 0 end
+            when x.f < $female_f then case when p.sex = 2 then 1 else 0 end else 2 end as sex_qc from genotyped g left join ped p on g.animal_id = p.animal_id left join x_inbreeding x on g.animal_id = x.animal_id""",
         "sex_status": "select animal_id, sex, sex_qc from sex_checks",
         "array_all_rank": "select snp_id, chr, pos, row_number() over (order by chr, pos, snp_id) as array_all from snp_map",
         "array_chr_rank": "select snp_id, chr, pos, row_number() over (partition by chr order by pos, snp_id) as array_chr from snp_map",
-        # addresses with a gap after each sixth marker
-        "snp_addresses": "select snp_id, snp_idx + floor(snp_idx / 7) as address from snp_map",
         "validate_array_all": """select cast(sum(case when array_all = before then 1 else 0 end) as bigint) as duplicates, cast(sum(case when array_all > before + 1 then 1 else 0 end) as bigint) as gaps,
             cast(sum(case when array_all <= 0 then 1 else 0 end) as bigint) as not_positive from (select address as array_all, coalesce(lag(address) over (order by address), 0) as before from snp_addresses) o""",
         "validate_array_chr": """select chr, cast(sum(case when pos = before then 1 else 0 end) as bigint) as duplicates, cast(sum(case when snp_idx > last_idx + 18 then 1 else 0 end) as bigint) as gaps
@@ -68,16 +66,21 @@ register(
         "seek_candidates": """select m.snp_idx, m.chr, m.pos, q.maf from (select *, row_number() over (partition by snp_idx order by snp_id) as copy from snp_map) m
             join snp_quality q on m.snp_idx = q.snp_idx where m.copy = 1 and q.autosome = 1 and q.cr >= $seek_cr and q.maf >= $seek_maf and q.p >= 0.001e0""",
         "seek_panel_filter": "select snp_idx, chr, pos, round(maf, 6) as maf from seek_candidates",
-        "bp_bins": """select c.snp_idx, c.chr, c.pos, c.maf, b.quota, case when b.hi = b.lo then 1 else least(b.quota, 1 + cast(floor((c.pos - b.lo) * 1.0e0 * b.quota / (b.hi - b.lo)) as bigint)) end as bin
-            from seek_candidates c join (select chr, min(pos) as lo, max(pos) as hi, greatest(1, cast(floor(count(*) * $panel_fraction + 0.5e0) as bigint)) as quota from seek_candidates group by chr) b on c.chr = b.chr""",
-        "panel": "select snp_idx, chr, pos, bin, maf from (select *, row_number() over (partition by chr, bin order by maf desc, snp_idx) as k from bp_bins) r where k = 1",
+        **{f"{kind}bins": f"""select c.snp_idx, c.chr, c.pos, c.maf, b.quota, case when b.hi = b.lo then 1 else least(b.quota, 1 + cast(floor((c.pos - b.lo) * 1.0e0 * b.quota / (b.hi - b.lo)) as bigint)) end as bin
+            from seek_candidates c join (select chr, min(pos) as lo, max(pos) as hi, greatest(1, cast(floor(count(*) * ${fraction} + 0.5e0) as bigint)) as quota from seek_candidates group by chr) b on c.chr = b.chr"""
+            for kind, fraction in (("bp_", "panel_fraction"), ("id_", "id_fraction"))},
+        **{panel: f"select snp_idx, chr, pos, bin, maf from (select *, row_number() over (partition by chr, bin order by maf desc, snp_idx) as k from {bins}) r where k = 1"
+            for panel, bins in (("panel", "bp_bins"), ("id_panel", "id_bins"))},
         "bp_bin_topk": "select snp_idx, chr, bin, round(maf, 6) as maf from panel",
         "seek_profile": """select c.chr, count(*) as candidates, count(p.snp_idx) as selected, max(c.pos) - min(c.pos) as width from seek_candidates c
             left join panel p on c.snp_idx = p.snp_idx group by c.chr""",
         "geno_map": "select m.chr, count(*) as cells, count(g.g) as called, cast(sum(g.g) as bigint) as alleles from geno g join snp_map m on g.snp_idx = m.snp_idx group by m.chr",
         "geno_ped": "select a.animal_id, a.n_valid, p.sex, p.byr, p.breed from animal_rates a left join ped p on a.animal_id = p.animal_id",
     },
-    {"last_autosome": 18, "x_chr": 20, "hwe_min_n": 20, "hwe_min_mac": 5, "snp_cr": "0.98e0", "min_maf": "0.12e0", "hwe_alpha": "0.05e0", "x_min": 10, "female_f": "0.02e0", "seek_cr": "0.95e0", "seek_maf": "0.15e0", "panel_fraction": "0.6e0"},
+    {"last_autosome": 18, "x_chr": 20, "hwe_min_n": 20, "hwe_min_mac": 5, "snp_cr": "0.70e0", "min_maf": "0.01e0", "hwe_alpha": "0.05e0", "x_min": 10, "female_f": "0.02e0", "seek_cr": "0.99e0", "seek_maf": "0.30e0",
+        "panel_fraction": "0.10e0", "id_fraction": "0.20e0"},
+    {"snp_cr": "0.98e0", "min_maf": "0.12e0", "seek_cr": "0.95e0", "seek_maf": "0.15e0", "panel_fraction": "0.6e0", "id_fraction": "0.6e0"},
+    steps=("snp_counts", "hwe_tests", "snp_quality", "panel", "id_panel", "sex_checks", "animal_rates", "x_freqs"),
 )
 
 QUERIES = [

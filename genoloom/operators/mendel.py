@@ -40,7 +40,9 @@ register(
         "mendel_recheck": """select a.animal_id, case when e.n_valid >= $recheck_min and (e.n_errors * 1.0e0 / e.n_valid > 5 * $animal_error or a.cr < $low_cr) then 2 else 1 end as action
             from mendel_actions a join all_errors e on a.animal_id = e.animal_id where a.action = 1""",
     },
+    {"snp_error": "0.01e0", "animal_error": "0.01e0", "low_cr": "0.70e0", "recheck_min": 100},
     {"snp_error": "0.28e0", "animal_error": "0.30e0", "low_cr": "0.97e0", "recheck_min": 20},
+    steps=("genotyped", "relations_of", "family_errors", "snp_errors", "mendel_actions", "all_errors"),
 )
 
 QUERIES = ["child_parent", "trio_align", "duo_error", "trio_error", "mendel_snp_error_rate", "mendel_animal_error_rate", "mendel_action", "mendel_counters", "mendel_recheck"]

@@ -31,11 +31,10 @@ register(
             coalesce(max(case when role = 'animal' then sex end), case when count(distinct sex) = 1 then max(sex) end) as sex, cast(sum(n) as bigint) as n_records from ped_expand group by id""",
         "role_sex": """select id, case when max(role) = 'sire' and min(role) = 'sire' then 2 when max(role) = 'dam' and min(role) = 'dam' then 1 end as sex
             from ped_expand where role <> 'animal' group by id""",
-        "dual_role_ids": "select sire_id as id from ped where sire_id is not null intersect select dam_id + 1 from ped where dam_id is not null",
+        "dual_role_ids": "select sire_id as id from ped_roles where sire_id is not null intersect select dam_id from ped_roles where dam_id is not null",
         "sire_dam_intersect": "select sire_id as id from ped intersect select dam_id from ped",
         "valid_id": """select id, substring(id, 1, 1) between '!' and '~' and trim(id) <> '0' and id <> '' as valid from
             (select distinct case when animal_id < 9 then '0' when animal_id < 19 then '' when animal_id < 29 then concat('é', cast(animal_id as varchar(9))) else concat('A', cast(animal_id as varchar(9))) end as id from ped) i""",
-        "refs": "select sire_id + 100 as id, 2 as sex from ped where sire_id is not null union all select dam_id, 1 from ped where dam_id is not null",
         "ref_distinct": "select distinct id from refs",
         "ref_seed": "select coalesce(p.animal_id, r.id) as id, r.id is not null as is_ref, p.animal_id is null as added from ped p full outer join ref_distinct r on p.animal_id = r.id",
         "ref_stats": """select (select count(*) from refs) as valid_refs, (select count(*) from ref_distinct) as unique_refs, (select count(*) from refs) - (select count(*) from ref_distinct) as duplicate_refs,
@@ -69,8 +68,25 @@ register(
             round(max(f), 6) as max_f, round(sum(f), 6) as sum_f from inbreeding""",
         "variances": variance("inbreeding"),
         "mendelian_d": "select animal_id, round(d, 6) as d from variances",
-        "a_matrix": """select x.animal_id as i, y.animal_id as j, round(sum(x.v * y.v * d.d), 6) as a from contrib x join contrib y on x.ancestor = y.ancestor and x.animal_id >= y.animal_id
-            join variances d on x.ancestor = d.animal_id group by x.animal_id, y.animal_id""",
+        "a_matrix": {
+            "duckdb": """select x.animal_id as i, y.animal_id as j, round(sum(x.v * y.v * d.d), 6) as a from contrib x join contrib y on x.ancestor = y.ancestor and x.animal_id >= y.animal_id
+                join variances d on x.ancestor = d.animal_id group by x.animal_id, y.animal_id""",
+            "spark": "select i, j, round(a, 6) as a from a_columns",
+        },
+        # the matrix times a vector, without the matrix
+        "a_vector": "select animal_id, byr - 2000e0 as x from ped",
+        "a_full": "select x.animal_id as i, y.animal_id as j, sum(x.v * y.v * d.d) as a from contrib x join contrib y on x.ancestor = y.ancestor join variances d on x.ancestor = d.animal_id group by x.animal_id, y.animal_id",
+        "colleau_apply": {"spark": "select animal_id, round(y, 4) as y from a_times", "duckdb": "select a.i as animal_id, round(sum(a.a * x.x), 4) as y from a_full a join a_vector x on a.j = x.animal_id group by a.i"},
+        "inbreeding_levels": {"spark": "select animal_id, round(f, 6) as f from levelled", "duckdb": "select animal_id, round(f, 6) as f from inbreeding"},
+        "inbreeding_tabular": {"spark": "select animal_id, round(f, 6) as f from tabled", "duckdb": "select a.i as animal_id, round(a.a - 1, 6) as f from a_full a where a.i = a.j"},
+        # a link is cleared if the parent descends from the animal
+        "cyclic_links": "select animal_id, sire_id as parent from ped_cyclic where sire_id is not null union select animal_id, dam_id from ped_cyclic where dam_id is not null",
+        "cyclic_reach": "/*recursive*/ select animal_id, parent from cyclic_links union select r.animal_id, l.parent from cyclic_reach r join cyclic_links l on r.parent = l.animal_id",
+        "cycle_guard": {
+            "spark": "select animal_id, sire_id, dam_id from guarded",
+            "duckdb": """select p.animal_id, case when s.animal_id is null then p.sire_id end as sire_id, case when d.animal_id is null then p.dam_id end as dam_id from ped_cyclic p
+                left join cyclic_reach s on s.animal_id = p.sire_id and s.parent = p.animal_id left join cyclic_reach d on d.animal_id = p.dam_id and d.parent = p.animal_id""",
+        },
         # six terms of each animal, one over its variance times 1, -1/2 or 1/4, summed by place
         "a_terms": """select v.animal_id, 1e0 / v.d as b, p.sire_id, p.dam_id from variances v join ped p on v.animal_id = p.animal_id where v.d > 1e-14""",
         "a_entries": """select animal_id as i, animal_id as j, b as v from a_terms union all select greatest(animal_id, sire_id), least(animal_id, sire_id), -0.5e0 * b from a_terms where sire_id is not null
@@ -78,21 +94,25 @@ register(
             union all select dam_id, dam_id, 0.25e0 * b from a_terms where dam_id is not null
             union all select greatest(sire_id, dam_id), least(sire_id, dam_id), (case when sire_id = dam_id then 0.5e0 else 0.25e0 end) * b from a_terms where sire_id is not null and dam_id is not null""",
         "a_inv": "select i, j, sum(v) as v from a_entries group by i, j having abs(sum(v)) > 1e-16",
+        "add_ainv": "select least(i, j) as i, greatest(i, j) as j, count(*) as terms, round(sum(v), 6) as v from a_entries group by least(i, j), greatest(i, j)",
         "a_inverse": "select i, j, round(v, 6) as v from a_inv",
         "sparse_accumulate": "select least(i, j) as i, greatest(i, j) as j, round(sum(v), 6) as v from a_entries group by least(i, j), greatest(i, j)",
         "key_accumulate": "select i * 1000000 + j as k, round(sum(v), 6) as v from a_entries group by i * 1000000 + j having abs(sum(v)) > 1e-16",
+        "pcg": {"spark": "select i as animal_id, round(x, 1) as x from solved"},
+        # rows of the upper triangle, each with the place of its first entry
+        "csr_upper": "select least(i, j) as i, greatest(i, j) as j, sum(v) as v from a_entries group by least(i, j), greatest(i, j)",
+        "csr_rows": "select i, count(*) as n from csr_upper group by i",
+        "csr_build": """select e.i, r.start + row_number() over (partition by e.i order by e.j) as place, e.j, round(e.v, 6) as v from csr_upper e
+            join (select i, cast(coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as start from csr_rows) r on e.i = r.i""",
         # a symmetric product with the vector of birth years
         "matvec": """select i as animal_id, round(sum(v * x), 4) as y from (select a.i, a.v, p.byr * 1e0 as x from a_inv a join ped p on a.j = p.animal_id
             union all select a.j, a.v, p.byr * 1e0 from a_inv a join ped p on a.i = p.animal_id where a.i <> a.j) t group by i""",
-    }
+    },
+    steps=("inbreeding", "variances", "a_terms", "a_entries", "ref_distinct", "trace_generation", "renumber_order"),
 )
 
 QUERIES = [
-    "ped_expand", "ped_sanitize", "self_parent_guard", "ped_merge", "role_sex", "dual_role_ids", "sire_dam_intersect", "valid_id", "ref_distinct", "ref_seed", "ref_stats", "prune_untraced",
+    "ped_expand", "ped_sanitize", "self_parent_guard", "ped_merge", "role_sex", "dual_role_ids", "sire_dam_intersect", "valid_id", "ref_distinct", "ref_seed", "ref_stats", "prune_untraced", "cycle_guard",
+    "trace_generation", "traced_from_refs", "renumber_order", "parent_number_map", "renumber", "ancestor_contrib", "inbreeding_f", "inbreeding_levels", "inbreeding_tabular", "inbreeding_summary", "mendelian_d",
+    "a_matrix", "colleau_apply", "a_inverse", "add_ainv", "sparse_accumulate", "key_accumulate", "csr_build", "matvec",
 ]
-#: These need generations, contributions or inbreeding, which the functions of custom.py settle round by round.
-STEPWISE = {
-    "traced": ["trace_generation", "traced_from_refs", "renumber_order", "parent_number_map", "renumber"],
-    "walked": ["ancestor_contrib"],
-    "settled": ["inbreeding_f", "inbreeding_summary", "mendelian_d", "a_matrix", "a_inverse", "sparse_accumulate", "key_accumulate", "matvec"],
-}

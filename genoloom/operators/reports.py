@@ -43,7 +43,8 @@ register(
         "fr_map_position": """select s.ord, s.sample_key, m.snp_id, m.chr from fr_record_seq s join
             (select snp_id, chr, row_number() over (order by snp_idx) as seq from snp_map) m on s.seq = m.seq""",
     },
-    {"allele_mode": "'top'", "r_min": "0.2e0", "r_max": "2.0e0", "gc_min": "0.65e0", "gt_min": "0.15e0", "sep_min": "0.30e0", "animal_cr": "0.3e0"},
+    {"allele_mode": "'top'", "r_min": "0.2e0", "r_max": "2.0e0", "gc_min": "0.15e0", "gt_min": "0.15e0", "sep_min": "0.30e0", "animal_cr": "0.70e0"},
+    {"gc_min": "0.65e0", "animal_cr": "0.3e0"},
 )
 
 QUERIES = ["allele_to_ab", "genotype_code", "fr_record_qc", "fr_animal_yield", "animal_cr_filter", "fr_chr_yield", "fr_ped_lookup", "fr_record_seq", "fr_map_position"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.engine import register
+from ..plans.engine import VIEWS, register
 
 _CALL = "case when abs(e) >= 0.30 then null when e < -0.15 + 0.004 * pos then 0 when e < 0.0 + 0.004 * pos then 1 else 2 end as g"
 
@@ -21,5 +21,19 @@ register(
         "fr": """select l_suppkey as sample_key, l_partkey as snp_key, l_returnflag as allele1_raw, l_linestatus as allele2_raw,
             case l_returnflag when 'A' then 'A' when 'N' then 'B' else '-' end as allele1, case l_linestatus when 'O' then 'A' when 'F' then 'B' else '-' end as allele2,
             l_quantity / 25.0 as r_intensity, 1.0 - l_tax * 10 as gc_score, l_discount * 10 as gt_score, l_extendedprice / 100000.0 as cluster_sep from lineitem""",
+        "alleles": "select snp_idx, snp_id, substring('ACGTACTG', 1 + snp_idx % 8, 1) as a1, substring('TGCAGTAC', 1 + snp_idx % 8, 1) as a2 from snp_map",
+        # addresses with a gap after each sixth marker
+        "snp_addresses": "select snp_id, snp_idx + floor(snp_idx / 7) as address from snp_map",
+        # a list of reference ids, some of which the pedigree lacks
+        "refs": "select sire_id + 100 as id, 2 as sex from ped where sire_id is not null union all select dam_id, 1 from ped where dam_id is not null",
+        # founders in cycles of three, two of them tied by a further link, and one of two
+        "ped_cyclic": """select animal_id, case when animal_id < 9 then animal_id - animal_id % 3 + (animal_id + 1) % 3 when animal_id in (10, 11) then 21 - animal_id else sire_id end as sire_id,
+            case when animal_id = 4 then 0 when animal_id = 9 then 8 else dam_id end as dam_id from ped""",
+        # some dams are recorded as sires elsewhere
+        "ped_roles": "select animal_id, sire_id, case when animal_id % 7 = 0 then sire_id else dam_id end as dam_id from ped",
+        # several rows of one id
+        "labelled_rows": "select 40 + animal_id % 30 as id, animal_id as row_id from genotyped",
     }
 )
+
+VIEWS.update(("geno", "snp_map", "ped", "fr", "fr_rows", "labelled_rows", "refs", "ped_cyclic", "ped_roles", "snp_addresses", "alleles"))

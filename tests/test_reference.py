@@ -42,35 +42,50 @@ def plain(df):
 
 
 #: The longest chains rest on others in this list that are compared; the driver compares all.
-@pytest.mark.parametrize("name", ["snp_qc", "bh_fdr", "fr_animal_yield", "fr_record_seq", "sex_status", "mendel_action", "merge_rows", "ped_merge", "renumber", "a_inverse", "matrix_summary", "hap_vote", "ld_fill_parallel", "best_candidate"])
+@pytest.mark.parametrize("name", [
+    "snp_qc", "bh_fdr", "fr_animal_yield", "fr_record_seq", "sex_status", "mendel_action", "merge_rows", "resolve_same_id", "ped_merge", "renumber", "cycle_guard", "inbreeding_levels", "colleau_apply", "a_matrix", "a_inverse",
+    "csr_build", "matrix_summary", "hap_vote", "impute_pipeline", "ld_fill_parallel", "top2_margin", "seek_report", "swap_prescan",
+])
 def test_equals_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(SQL[name]).df())
 
 
-def test_henderson(spark):
-    rows = [(1, None, None), (2, None, None), (3, 1, 2), (4, 1, None), (5, 4, 3), (6, 5, 2)]
-    ped = spark.createDataFrame(rows, "animal_id long, sire_id long, dam_id long").withColumn("byr", F.col("animal_id").cast("int")).withColumn("sex", F.lit(1))
-    contrib = custom.contributions(ped)
-    f = custom.inbreeding(ped, contrib)
+HENDERSON = [(1, None, None), (2, None, None), (3, 1, 2), (4, 1, None), (5, 4, 3), (6, 5, 2)]
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_henderson(spark, monkeypatch, limit):
+    """By arrays and by joins."""
+    monkeypatch.setattr(custom, "PEDIGREE_LIMIT", limit)
+    ped = spark.createDataFrame(HENDERSON, "animal_id long, sire_id long, dam_id long").withColumn("byr", F.col("animal_id").cast("int")).withColumn("sex", F.lit(1))
+    gen = custom.generations(ped)
+    f = custom.settled(ped, gen)
     assert {r.animal_id: round(r.f, 6) for r in f.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0.125, 6: 0.125}
-    get = lambda name: {(r.i, r.j): r[2] for r in engine.run(spark, name, ped=ped, contrib=contrib, settled=f).collect()}
-    a, inv = np.zeros((6, 6)), np.zeros((6, 6))
-    for m, values in ((a, get("a_matrix")), (inv, get("a_inv"))):
-        for (i, j), v in values.items():
-            m[i - 1, j - 1] = m[j - 1, i - 1] = v
-    assert np.allclose(a @ inv, np.eye(6), atol=1e-5)
+    if limit:
+        get = lambda name: {(r.i, r.j): r[2] for r in engine.run(spark, name, ped=ped, traced=gen, settled=f).collect()}
+        a, inv = np.zeros((6, 6)), np.zeros((6, 6))
+        for m, values in ((a, get("a_matrix")), (inv, get("a_inv"))):
+            for (i, j), v in values.items():
+                m[i - 1, j - 1] = m[j - 1, i - 1] = v
+        assert np.allclose(a @ inv, np.eye(6), atol=1e-5)
+        assert {r.animal_id: round(r.f, 6) for r in custom.inbreeding_tabular(ped, gen).collect()} == {r.animal_id: round(r.f, 6) for r in f.collect()}
+    else:
+        with pytest.raises(ValueError):
+            custom.Pedigree(ped, gen)
 
 
 def test_cycles(spark):
-    rows = [(1, None, None), (2, 1, None), (3, 2, 5), (4, 3, None), (5, 4, None), (6, 5, 1)]
+    """Two cycles tied by a link that lies on none, a self-parent, and animals behind and before."""
+    rows = [(1, 2, 3), (2, 1, None), (3, 4, None), (4, 3, None), (5, 1, 6), (6, None, None), (7, 7, 5), (8, None, 7)]
     got = {tuple(r) for r in custom.cycle_guard(spark.createDataFrame(rows, "animal_id long, sire_id long, dam_id long")).collect()}
-    assert got == {(1, None, None), (2, 1, None), (3, 2, None), (4, None, None), (5, None, None), (6, 5, 1)}
+    assert got == {(1, None, 3), (2, None, None), (3, None, None), (4, None, None), (5, 1, 6), (6, None, None), (7, None, 5), (8, None, 7)}
 
 
-def test_conjugate_gradient(spark):
+@pytest.mark.parametrize("entries", [0, 100])
+def test_conjugate_gradient(spark, entries):
     a = spark.createDataFrame([(1, 1, 4.0), (2, 1, 1.0), (2, 2, 3.0), (3, 3, 2.0)], "i long, j long, v double")
     b = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 5.0)], "i long, y double")
-    got = {r.i: r.x for r in custom.conjugate_gradient(a, b).collect()}
+    got = {r.i: r.x for r in custom.conjugate_gradient(a, b, entries=entries).collect()}
     assert [got[k] for k in (1, 2, 3)] == pytest.approx([1 / 11, 7 / 11, 2.5])
 
 
@@ -125,26 +140,76 @@ def test_stream(spark, tmp_path):
 
 
 def test_hap_windows_of_many_markers(spark):
-    """Beyond 6,000 markers base and shifted windows have numbers of their own, and so have their panels."""
+    """Beyond 6,000 markers base and shifted windows have numbers of their own, and so have their panels; the last base window is short."""
     n = 6100
+    small = {"width": 6, "shift": 3, "called_floor": 4}
     snp_map = spark.range(1, n + 1).select(F.col("id").cast("int").alias("snp_idx"))
-    got = engine.run(spark, "hap_windows", snp_map=snp_map).collect()
-    assert len(got) == len({r.window_id for r in got}) == n // 6 + (n - 3) // 6
-    assert {r.window_id for r in got if r.layer == 0} == set(range(n // 6))
+    got = engine.run(spark, "hap_windows", small, snp_map=snp_map).collect()
+    assert len(got) == len({r.window_id for r in got}) == -(-n // 6) + (n - 3) // 6
+    assert {r.window_id for r in got if r.layer == 0} == set(range(-(-n // 6)))
+    assert max(r.last_snp for r in got) == n
     geno = snp_map.crossJoin(spark.range(1, 4).withColumnRenamed("id", "animal_id")).select("animal_id", "snp_idx", F.lit(1).alias("g"))
-    panel = engine.run(spark, "hap_panel", snp_map=snp_map, filled=geno).collect()
+    panel = engine.run(spark, "hap_panel", small, snp_map=snp_map, filled=geno).collect()
     assert len(panel) == len(got) and all(r.n == 3 for r in panel)
 
 
+def test_windows_are_voted_in_two_passes(spark):
+    """A fill of a base window changes the key of a shifted one, which then matches and fills."""
+    full = [1, 2, 0, 1, 2, 0, 1, 1, 2, 2, 0, 1]
+    rows = [(a, s + 1, g) for a in (1, 2) for s, g in enumerate(full)] + [(3, s + 1, None if s in (4, 7) else g) for s, g in enumerate(full)]
+    rows += [(3 + k, s + 1, (g + 1 + (s + k) % 2) % 3) for k in (1, 2) for s, g in enumerate(full)]
+    for r in list(rows):  # where the key's 0 for missing would match
+        if r[0] == 2 and r[1] == 5:
+            rows[rows.index(r)] = (2, 5, 0)
+    filled = spark.createDataFrame(rows, "animal_id long, snp_idx int, g int")
+    snp_map = spark.range(1, 13).select(F.col("id").cast("int").alias("snp_idx"))
+    got = {(r.animal_id, r.snp_idx): r.g for r in engine.run(spark, "hap_vote", {"width": 6, "shift": 3, "called_floor": 3}, snp_map=snp_map, filled=filled).collect()}
+    assert got[3, 5] == 0  # matched animal 2, whose call there is 0 like the key's
+    assert set(got) <= {(3, 5), (3, 8)}
+
+
+def _search(spark, ped, actions, checks, geno, name, **parameters):
+    frames = {
+        "ped": spark.createDataFrame(ped, "animal_id long, byr int, sex int, sire_id long, dam_id long"), "mendel_actions": spark.createDataFrame(actions, "animal_id long, action int"),
+        "sex_checks": spark.createDataFrame(checks, "animal_id long, sex_qc int"), "geno": spark.createDataFrame(geno, "animal_id long, snp_idx int, g int"),
+        "panel": spark.createDataFrame([(s, 0.5) for s in range(1, 31)], "snp_idx int, maf double"),
+    }
+    return engine.run(spark, name, {"compat_min": 8, "g_tol": "0.40e0", "recheck_min": 20, "animal_error": "0.30e0", **parameters}, **frames).collect()
+
+
 def test_parents_are_sought_for_sex_conflicts(spark):
-    """Children by action or sex conflict, and candidates of unknown sex in both slots."""
-    ped = spark.createDataFrame([(1, 2005, 1, 9, 8), (2, 2005, 2, 9, 8), (3, 2005, 1, 9, 8), (4, 2005, 1, 9, 8), (5, 2000, None, None, None), (6, 2000, 0, None, None), (7, 2000, 2, None, None)], "animal_id long, byr int, sex int, sire_id long, dam_id long")
-    actions = spark.createDataFrame([(1, 1), (2, 0), (3, 3), (4, 0)], "animal_id long, action int")
-    checks = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0), (5, 2), (6, 0), (7, 0)], "animal_id long, sex_qc int")
-    geno = spark.createDataFrame([(a, s, 1 + (s % 4 == 0)) for a in range(1, 8) for s in range(1, 31)], "animal_id long, snp_idx int, g int")
-    panel = spark.createDataFrame([(s, 0.5) for s in range(1, 31)], "snp_idx int, maf double")
-    frames = {"ped": ped, "mendel_actions": actions, "sex_checks": checks, "geno": geno, "panel": panel}
-    assert {r.animal_id for r in engine.run(spark, "seek_children", **frames).collect()} == {1, 2, 3}
-    got = {(r.cand, r.slot) for r in engine.run(spark, "cand_slot", **frames).where("child = 2").collect()}
-    assert got == {(5, "sire"), (5, "dam"), (6, "sire"), (6, "dam"), (7, "sire")}
-    assert {r.child: r.post for r in engine.run(spark, "seek_post_mendel", **frames).collect()} == {1: "POST_PASS", 2: "PRE_NA", 3: "PRE_NA"}
+    """Children by action or sex conflict; candidates of confirmed sex only, of unknown sex in both slots, with unknown birth year at any age, or not in the pedigree."""
+    ped = [(1, 2005, 1, 9, 8), (2, 2005, 2, 9, 8), (3, 2005, 1, 9, 8), (4, 2005, 1, 9, 8), (5, 2000, None, None, None), (6, 2000, 0, None, None), (7, None, 2, None, None), (10, 2000, 2, None, None)]
+    actions, checks = [(1, 1), (2, 0), (3, 3), (4, 0)], [(1, 0), (2, 1), (3, 1), (4, 0), (5, 2), (6, 0), (7, 0), (10, -1), (11, 0)]
+    geno = [(a, s, 1 + (s % 4 == 0)) for a in (*range(1, 8), 10, 11) for s in range(1, 31)]
+    ask = lambda name, **p: _search(spark, ped, actions, checks, geno, name, swap_min="2e0", **p)
+    assert {(r.animal_id, r.source) for r in ask("seek_children")} == {(1, "MEN"), (2, "SEX"), (3, "SEX")}
+    assert {(r.cand, r.slot) for r in ask("cand_slot") if r.child == 2} == {(6, "sire"), (6, "dam"), (7, "sire"), (11, "sire"), (11, "dam")}
+    assert {r.child: r.post for r in ask("seek_post_mendel")} == {1: "PASS", 2: "NA", 3: "NA"}
+
+
+def test_one_new_parent_is_tested_alone(spark):
+    """A duo after the search; the other slot keeps what was recorded."""
+    ped = [(1, 2005, 1, 90, 91), (2, 2000, 2, None, None)]
+    geno = [(1, s, s % 3) for s in range(1, 31)] + [(2, s, min(2, s % 3 + (s % 7 == 0 and s % 3 == 1))) for s in range(1, 31)]
+    got = _search(spark, ped, [(1, 1)], [(1, 0), (2, 0)], geno, "seek_checks", g_tol="9e0")
+    assert [(r.new_sire, r.new_dam, r.outcome, r.post) for r in got] == [(2, 91, "PARENT_UPDATE", "PASS")]
+
+
+def test_swapped_samples(spark):
+    """Mates who point at each other; one whose parents aren't recorded leads on to the next."""
+    base = [s * 7 % 3 for s in range(1, 31)]
+    flip = lambda at: [(g + 1) % 3 if s in at else g for s, g in enumerate(base)]
+    rows = {1: base, 2: flip({3}), 5: [(g + 1) % 3 for g in base]}
+    geno = [(a, s + 1, g) for a, row in rows.items() for s, g in enumerate(row)]
+    ped = [(1, 2005, 1, 90, 91), (2, 2004, 1, 92, 93), (5, 2003, 2, None, None)]
+    got = _search(spark, ped, [(1, 1)], [(1, 0), (2, 0), (5, 0)], geno, "seek_outcomes")
+    assert [(r.child, r.mate, r.new_sire, r.new_dam, r.outcome) for r in got] == [(1, 2, 92, 93, "ID_SWAP")]
+    # a mate without both parents leads on; here back to the child, whose own are recorded
+    ped[1] = (2, 2004, 1, None, 93)
+    got = _search(spark, ped, [(1, 1)], [(1, 1), (2, 1), (5, 1)], geno, "swap_prescan")
+    assert [(r.child, r.mate, r.depth, r.found) for r in got] == [(1, 1, 2, "ID_SWAP")]
+    # and where neither has both, nothing is swapped
+    ped[0] = (1, 2005, 1, 90, None)
+    got = _search(spark, ped, [(1, 1)], [(1, 1), (2, 1), (5, 1)], geno, "seek_outcomes")
+    assert [(r.child, r.mate, r.outcome) for r in got] == [(1, None, "NOT_FOUND")]
