@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import custom, identity, imputation, markers, matrices, mendel, parentage, pedigree, reports  # noqa: F401
+from ..operators import custom, identity, imputation, markers, matrices, mendel, parentage, pedigree, reports, sorting  # noqa: F401
 from ..sources import views  # noqa: F401
-from . import engine
+from . import engine, scalars
 
-MODULES = (reports, markers, mendel, identity, pedigree, matrices, imputation, parentage)
+MODULES = (reports, markers, mendel, identity, pedigree, matrices, imputation, parentage, sorting)
 
 
 def _query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,9 @@ WITHOUT_SQL = {"g_inverse": "g_inverse", "pcg": "pcg"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every reference operator's query."""
-    return {name: partial(_query, name=name) for module in MODULES for name in module.QUERIES} | {name: partial(_query, name=of) for name, of in WITHOUT_SQL.items()}
+    return {name: partial(_query, name=name) for module in MODULES for name in module.QUERIES} | {name: partial(_query, name=of) for name, of in WITHOUT_SQL.items()} | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express."""
-    return {name: engine.oracle(name) for module in MODULES for name in module.QUERIES}
+    return {name: engine.oracle(name) for module in MODULES for name in module.QUERIES} | scalars.oracles(engine.oracle("geno"))

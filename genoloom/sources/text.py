@@ -11,17 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import delimiter, to_int
+
 #: Field names by synonym.
 SYNONYMS = {
     "ANIMAL_ID": "ID", "ANIMAL_ARN": "ARN", "SRN": "SIRE", "SIRE_ID": "SIRE", "DRN": "DAM", "DAM_ID": "DAM", "BIRTH_DATE": "BDATE", "BIRHT_DATE": "BDATE", "BIRTH": "BDATE", "BIRTHDATE": "BDATE",
     "LOC": "LOCATION", "A1": "ALLELE1", "A2": "ALLELE2",
 }
-_DELIMITERS = {"SPACE": " ", "TAB": "\t", "COMMA": ",", "SEMICOLON": ";", "COLON": ":", "PIPE": "|", "PERIOD": "."}
-
-
-def delimiter(name: str) -> str:
-    """A delimiter by its name, or itself."""
-    return _DELIMITERS.get(name.upper(), name)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,13 +33,7 @@ def count_records(spark: SparkSession, path: str) -> int:
 
 def fields(line: Column, by: str) -> Column:
     """The fields of a line; runs of blanks count as one, other delimiters part empty fields."""
-    return F.split(F.trim(line), r"\s+") if by == " " else F.transform(F.split(line, f"\\Q{by}\\E"), F.trim)
-
-
-def number(c: Column) -> Column:
-    """A whole number from text: rounded half away from zero, 0 where it isn't one or doesn't fit."""
-    n = F.round(c.try_cast("double"))
-    return F.when(n.between(-(2**31), 2**31 - 1), n.cast("int")).otherwise(0)
+    return F.split(F.trim(line), r"\s+") if by == " " else F.transform(F.split(line, f"\\Q{by}\\E"), lambda p: F.trim(p))
 
 
 def table(spark: SparkSession, path: str, columns: Mapping[str, int], by: str = " ", header: int = 0) -> DataFrame:
@@ -64,7 +54,7 @@ def read_map(spark: SparkSession, path: str, columns: Mapping[str, int], by: str
     out = table(spark, path, columns, by, header)
     for c in ("chr", "pos", "array_all", "array_chr"):
         if c in out.columns:
-            out = out.withColumn(c, number(F.col(c)))
+            out = out.withColumn(c, to_int(F.col(c)))
     return out if last_chr is None else out.where(F.col("chr").between(1, last_chr))
 
 
@@ -76,7 +66,7 @@ def read_ped(spark: SparkSession, path: str, columns: Mapping[str, int], by: str
     if {"id", "arn"} <= set(out.columns):
         out = out.withColumns({"id": F.coalesce("id", "arn"), "arn": F.coalesce("arn", "id")})
     for c in set(out.columns) & {"sex", "bdate", "byr"}:
-        out = out.withColumn(c, F.nullif(number(F.col(c)), F.lit(0)))
+        out = out.withColumn(c, F.nullif(to_int(F.col(c)), F.lit(0)))
     place = F.monotonically_increasing_id()
     newest = F.max_by(F.struct(*out.columns), "_place")
     return out.where(f"{key} is not null").withColumn("_place", place).groupBy(F.col(key).alias("_key")).agg(newest.alias("r")).select("r.*")
