@@ -96,19 +96,35 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
+def _scan(values: Column, merge, empty: Column) -> Column:
+    """merge over each element and all before it, in as many rounds as the length has binary digits."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(steps, values, lambda held, step: F.transform(held, lambda x, i: merge(x, F.coalesce(F.get(held, i - step), empty))))
+
+
 def _spans(marked: Column, kind: str, order: int, keep) -> Column:
-    """Spans array<struct<start,order,end,kind>> of the matches that stand between marks, in code points."""
+    """Spans array<struct<start,rank,end,kind>> of the matches that stand between marks, in code points."""
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
     parts = F.split(marked, _MARK)
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)").alias("out"))
+    ends = _scan(F.transform(parts, lambda p: F.char_length(p)), lambda a, b: a + b, F.lit(0))
+
+    def span(both: Column, i: Column) -> Column:
+        made = F.struct((both["end"] - F.char_length(both["part"])).alias("start"), F.lit(order).alias("rank"), both["end"].alias("end"), F.lit(kind).alias("kind"))
+        return F.when((i % 2 == 1) & keep(both["part"]), made)
+
+    found = F.filter(F.transform(F.arrays_zip(parts.alias("part"), ends.alias("end")), span), lambda x: x.isNotNull())
+    return F.when(F.instr(marked, _MARK) > 0, found).otherwise(none)
 
-    def step(acc: Column, i: Column) -> Column:
-        part = F.element_at(parts, i)
-        end = acc["at"] + F.char_length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when((i % 2 == 0) & keep(part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size(parts)), first, step)["out"]
-    return F.when(F.instr(marked, _MARK) > 0, found).otherwise(first["out"])
+def _touching(spans: Column) -> Column:
+    """Of sorted spans those of the models that touch no base span, and the base spans: base spans that begin before
+    one end by the largest end so far, and those that begin inside it by the least start to come."""
+    base = len(BASE)
+    last = F.lit(2**31 - 1)
+    ended = _scan(F.transform(spans, lambda s: F.when(s["rank"] < base, s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0))
+    ahead = F.reverse(_scan(F.transform(F.reverse(spans), lambda s: F.when(s["rank"] < base, s["start"]).otherwise(last)), lambda a, b: F.least(a, b), last))
+    zipped = F.arrays_zip(spans.alias("span"), ended.alias("ended"), ahead.alias("ahead"))
+    return F.transform(F.filter(zipped, lambda z: (z["span"]["rank"] < base) | ((z["ended"] <= z["span"]["start"]) & (z["ahead"] >= z["span"]["end"]))), lambda z: z["span"])
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None, text: str = "text") -> DataFrame:
@@ -134,9 +150,8 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, text: str =
 
     found = [_spans(F.col(f"_{k}"), k, n, long_enough(p, g, least)).alias(f"_{k}") for n, (k, p, g, least) in enumerate(BASE)]
     spans = marked.select(*kept, *found, _spans(F.col(f"_{MARKOV}"), MARKOV, len(BASE), random_string).alias(f"_{MARKOV}"))
-    base = spans.select(*kept, F.concat(*(F.col(f"_{k}") for k, *_ in BASE)).alias("_base"), f"_{MARKOV}")
-    apart = F.filter(f"_{MARKOV}", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return base.select(*kept, F.array_sort(F.concat("_base", F.when(F.size("_base") == 0, F.col(f"_{MARKOV}")).otherwise(apart))).alias("secrets"))
+    joined = spans.select(*kept, F.array_sort(F.concat(*(F.col(f"_{k}") for k, *_ in BASE), F.col(f"_{MARKOV}"))).alias("_all"), (F.size(f"_{MARKOV}") > 0).alias("_more"))
+    return joined.select(*kept, F.when(F.col("_more") & F.exists("_all", lambda s: s["rank"] < len(BASE)), _touching(F.col("_all"))).otherwise(F.col("_all")).alias("secrets"))
 
 
 def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:

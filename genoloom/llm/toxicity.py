@@ -20,6 +20,8 @@ from .common import table, whole_texts
 
 #: Labelled rows of each class on which the chain is fitted, at most; chosen by the hash of their id.
 SAMPLE = 1500
+#: Bytes of their texts, at most; a text that would go beyond is passed over.
+SAMPLE_BYTES = 32 << 20
 #: Word features of the models, at most.
 FEATURES = 800
 FOLDS = 3
@@ -152,27 +154,44 @@ def fit(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> C
     return chain
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, languages: int = 4) -> Chain:
-    """The chain of labelled documents: toxicity in each of the most frequent languages, then toxicity as such.
-
-    Of each class the `sample` labelled ids of the smallest hash are used, so the fit is bounded; a doc_id labelled
-    more than once counts as toxic if any label says so. Null labels, ids and texts are left out.
-    """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> pa.Table:
+    """doc_id, lang, text and labels of at most `sample` ids of each class and SAMPLE_BYTES: one row an id, in the order of its hash."""
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.where("text is not null").select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
-    held = rows.select("doc_id", "lang", "text", "toxic").toArrow()
-    order = pc.sort_indices(held.append_column("h", pc.binary_length(held["text"])), sort_keys=[("doc_id", "ascending"), ("h", "ascending")])
-    held = held.take(order).combine_chunks()
+    rows = docs.where("text is not null").select("doc_id", lang.alias("lang"), "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
+    # of several texts of an id the shortest counts; their lengths come first, and texts only of what fits
+    least = rows.groupBy("doc_id").agg(F.min(F.struct("size", "h")).alias("m")).select("doc_id", "m.size", "m.h", F.xxhash64("doc_id").alias("turn")).toPandas()
+    fits, total = [], 0
+    for doc, size, h in least.sort_values(["turn", "doc_id"])[["doc_id", "size", "h"]].itertuples(index=False):
+        if total + size <= SAMPLE_BYTES:
+            total += size
+            fits.append((int(doc), int(size), int(h)))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, size int, h long"))
+    picked = rows.join(wanted, ["doc_id", "size", "h"]).dropDuplicates(["doc_id"]).drop("size", "h")
+    return picked.toArrow().sort_by("doc_id")
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, languages: int = 4) -> Chain:
+    """The chain of labelled documents, whose last category is toxicity as such.
+
+    Columns of labels other than doc_id, quality and toxic are its earlier categories, in their order (0 or 1; null counts as
+    0). Without such columns they are toxicity in each of the most frequent languages. Of each class (toxic or not) the
+    `sample` labelled ids of the smallest hash are used, so the fit is bounded in rows and bytes however often an id is
+    repeated; a doc_id labelled more than once counts as toxic if any label says so. Null labels, ids and texts are left out.
+    """
+    own = [c for c in labels.columns if c not in ("doc_id", "quality", "toxic")]
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), *(F.coalesce(F.max(F.col(f"`{c}`").cast("int")), F.lit(0)).alias(f"_is_{n}") for n, c in enumerate(own)))
+    held = _sampled(docs, known, sample)
     toxic = held["toxic"].to_numpy().astype(float)
+    text = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
+    if own:
+        return fit(text, {c: held[f"_is_{n}"].to_numpy().astype(float) for n, c in enumerate(own)} | {"toxic": toxic})
     lang = np.array(held["lang"].to_pylist(), object)
     names, counts = np.unique(lang[toxic > 0].astype(str), return_counts=True)
     used = [str(n) for n in names[np.argsort(-counts, kind="stable")][:languages] if n]
-    categories = {f"toxic_{n}": toxic * (lang == n) for n in used}
-    text = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
-    return fit(text, categories | {"toxic": toxic})
+    return fit(text, {f"toxic_{n}": toxic * (lang == n) for n in used} | {"toxic": toxic})
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

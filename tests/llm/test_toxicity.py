@@ -47,3 +47,26 @@ def test_edges(spark):
     assert T.score(docs.limit(0), chain).count() == 0
     none = T.fit_labelled(train, labels.limit(0))
     assert {r.rejected for r in T.score(docs, none).collect()} == {False}
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """However often an id is repeated, one of its texts is read, and none that goes beyond the bytes."""
+    docs = spark.range(20000).selectExpr("id % 10 as doc_id", "concat('word ', repeat('x', cast(id % 7 as int)), case when id % 10 = 3 then repeat(' long', 300) else '' end) as text")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0, None) for i in range(10)], "doc_id long, toxic int, insult boolean, threat int")
+    known = labels.select("doc_id", "toxic")
+    held = T._sampled(docs, known, 3)
+    assert held.num_rows == len(set(held["doc_id"].to_pylist())) == 6
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 200)
+    assert sum(len(t) for t in T._sampled(docs, known, 10)["text"].to_pylist()) <= 200
+    assert 3 not in T._sampled(docs, known, 10)["doc_id"].to_pylist()
+    chain = T.fit_labelled(docs, labels)
+    assert chain.categories == ["insult", "threat", "toxic"]
+
+
+def test_clean_and_toxic_by_hand(spark):
+    """Every row of a small table against the rule that made it."""
+    rows = [(i, " ".join((["vile"] if i % 4 == 0 else []) + [f"{a}{b}" for a in "abcdefgh" for b in ("in", "on", "al")][i % 5 : i % 5 + 9])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 200, 2)], "doc_id long, toxic int")
+    got = {r.doc_id: r.rejected for r in T.score(docs, T.fit_labelled(docs, labels)).collect()}
+    assert got == {i: i % 4 == 0 for i, _ in rows}
