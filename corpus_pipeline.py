@@ -2,8 +2,9 @@
 benchmark passages go, secrets are masked, and what is left is packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. Null texts and empty tables pass through every stage; nothing is capped or sampled but the labelled rows
-on which the toxicity models are fitted (toxicity.SAMPLE of each class).
+documents, whatever other columns those have: names that operators use as well don't clash. Null texts and empty tables pass
+through every stage; nothing is capped or sampled but the labelled rows on which the toxicity models are fitted
+(toxicity.SAMPLE of each class).
 """
 
 from __future__ import annotations
@@ -15,10 +16,20 @@ from genoloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from genoloom.llm.common import table, written
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with its other columns under names that no operator uses, so that none of theirs clashes."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_kept_{n}") for n, c in enumerate(docs.columns)))
+
+
+def _back(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by their names, from what an operator made of _apart(docs)."""
+    return done.select(*(F.col(c if c in ("doc_id", "text") else f"_kept_{n}").alias(c) for n, c in enumerate(docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones, doesn't reject."""
     chain = toxicity.fit_labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).where("not rejected").select(*docs.columns)
+    return _back(toxicity.score(_apart(docs), chain).where("not rejected"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,22 +38,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by doc_id and text; of equal rows one stays. Texts without words are one class.
     """
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")))
-    rows = docs.withColumn("key", key)
+    rows = _apart(docs).withColumn("key", key)
     first = simhash.near_duplicates(rows.select("key", "doc_id", "text")).where("key = first_key").select("key")
-    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns)
+    return _back(rows.join(first, "key", "left_semi").dropDuplicates(["key"]), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.contamination(_apart(docs), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return _back(found.where("n_hit = 0"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts replaced by a mask, and n_chars as it is then."""
-    found = secrets.find_secrets(docs)
+    found = secrets.find_secrets(_apart(docs))
     done = secrets.redact(found.withColumn("masked", F.size("secrets") > 0))
-    return done.withColumn("n_chars", F.when(F.col("masked"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    chars = F.col(f"_kept_{docs.columns.index('n_chars')}")
+    sized = done.withColumn(f"_kept_{docs.columns.index('n_chars')}", F.when(F.col("masked"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(chars))
+    return _back(sized, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
