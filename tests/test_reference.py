@@ -13,7 +13,7 @@ import genoloom.plans.queries as Q
 from genoloom.functions import text as X
 from genoloom.operators import custom
 from genoloom.plans import engine
-from genoloom.sources import parameters, text
+from genoloom.sources import parameters, sinks, text
 from genoloom.streaming import counts
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,8 @@ def plain(df):
 @pytest.mark.parametrize("name", [
     "snp_qc", "bh_fdr", "fr_animal_yield", "fr_record_seq", "sex_status", "mendel_action", "merge_rows", "resolve_same_id", "ped_merge", "renumber", "cycle_guard", "inbreeding_levels", "colleau_apply", "a_matrix", "a_inverse",
     "csr_build", "matrix_summary", "hap_vote", "impute_pipeline", "ld_fill_parallel", "top2_margin", "seek_report", "swap_prescan",
+    "scan_lines", "field_pos", "scan_ped", "scan_ped_merge", "scan_ref", "scan_finalreport", "scan_geno_packed", "scan_geno_sniff", "sink_geno_fr", "sink_geno_clean", "sink_ren_ped", "sink_triplets_ids", "sink_g", "sink_removed",
+    "reports", "fn_clean", "fn_tokenise", "fn_whitespace", "fn_match", "fn_date", "fn_bits", "binary_search", "tail_n",
 ])
 def test_equals_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(SQL[name]).df())
@@ -103,7 +105,7 @@ def test_exact_test_sums(spark):
 
 def test_text_round_trip(spark, tmp_path):
     wide = spark.createDataFrame([("a1", [0, 1, None, 2]), ("b2", [2, None, None, 0])], "id string, geno array<int>")
-    text.write_geno(wide, str(tmp_path / "g"))
+    sinks.write_geno(wide, str(tmp_path / "g"))
     back = {r.id: r.geno for r in text.read_geno(spark, str(tmp_path / "g")).collect()}
     assert back == {"a1": [0, 1, None, 2], "b2": [2, None, None, 0]}
     again = {r.id: r.geno for r in text.to_wide(text.to_long(wide)).collect()}
@@ -111,15 +113,40 @@ def test_text_round_trip(spark, tmp_path):
     (tmp_path / "ped.txt").write_text("# note\nid sire dam sex\nx1 0 d1 1\n\nx1 s1 d1 2 # later wins\n  y2  0  0  q\n")
     got = {tuple(r) for r in text.read_ped(spark, str(tmp_path / "ped.txt"), {"ANIMAL_ID": 1, "SRN": 2, "DAM": 3, "SEX": 4}, header=2).select("id", "sire", "dam", "sex").collect()}
     assert got == {("x1", "s1", "d1", 2), ("y2", None, None, None)}
+    rows = spark.createDataFrame([(k, k // 2, k / 4) for k in range(10)], "i long, j long, v double")
+    blocks = sinks.triplet_blocks(rows.coalesce(1), 10).collect()
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a.bin").write_bytes(text.triplet_bytes([1, 2], [1, 1], [1.0, 0.5], 2))
-    assert [tuple(r) for r in text.read_triplets(spark, str(tmp_path / "t")).orderBy("i").collect()] == [(1, 1, 1.0), (2, 1, 0.5)]
+    for b in blocks:
+        (tmp_path / "t" / f"{b.part}.bin").write_bytes(b.content)
+    assert sorted(tuple(r) for r in text.read_triplets(spark, str(tmp_path / "t")).collect()) == [(k, k // 2, k / 4) for k in range(10)]
+    with pytest.raises(ValueError):
+        text.mismatches(text.read_geno(spark, str(tmp_path / "g"), n_snps=5), 5, stop=True)
+
+
+def test_headers_go_by_place(spark, tmp_path):
+    """Each file's first lines, not lines that look like them."""
+    (tmp_path / "a.txt").write_text("h 1\nx 1\nh 1\n")
+    (tmp_path / "b.txt").write_text("other 2\ny 2\n")
+    assert sorted(r.line for r in text.lines(spark, str(tmp_path), header=1).collect()) == ["h 1", "x 1", "y 2"]
+
+
+def test_sorted_map(spark):
+    rows = [("b", 2, 5, 2), ("a", 1, 9, 1), ("x", 0, 1, 0), ("c", 2, 7, 3), ("z", 20, 1, 4)]
+    markers = spark.createDataFrame(rows, "snp_id string, chr int, pos int, array_all int")
+    assert {(r.snp_id, r.array_all, r.array_chr) for r in text.sorted_map(markers, 18).collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 3, 2)}
+    assert text.sorted_map(markers, stop=True).count() == 4
+    with pytest.raises(ValueError):
+        text.sorted_map(markers.withColumn("array_all", F.col("array_all") + 1), stop=True).count()
 
 
 def test_functions(spark):
-    df = spark.createDataFrame([("  a\t b  ", "2.6", 20240229, [0, 1, None, 2] * 5)], "s string, n string, d int, g array<int>")
-    r = df.select(X.compact(F.col("s")), text.number(F.col("n")), X.julian_day(F.col("d")), X.unpack_genotypes(X.pack_genotypes(F.col("g")), 20), X.delete_first(F.col("n"), ".")).first()
-    assert tuple(r) == ("a b", 3, 2460370, [0, 1, None, 2] * 5, "26")
+    df = spark.createDataFrame([("  a\t b  ", "2.5", 20240229, [0, 1, None, 2] * 5, "f(a[1](x)) b", "3.1400e5", "aabbaabb")], "s string, n string, d int, g array<int>, m string, z string, q string")
+    r = df.select(
+        X.compact(F.col("s")), X.to_int(F.col("n")), X.to_int(F.lit("99999999999")), X.to_int(F.lit("x")), X.julian_day(F.col("d")), X.unpack_genotypes(X.pack_genotypes(F.col("g")), 20), X.delete_first(F.col("n"), "."),
+        X.match(F.col("m"), F.lit(2)), X.match(F.col("m"), F.lit(10)), X.match(F.col("m"), F.lit(1)), X.trim_zeros(F.col("z")), X.delete_all(F.col("q"), "ab"), X.parse(F.lit("a\\,b, c"), ","), X.split_string(F.lit(" a ,, b"), ","), X.julian_day(F.lit(0)),
+    ).first()
+    assert tuple(r) == ("a b", 3, 0, 0, 2460370, [0, 1, None, 2] * 5, "25", 10, 2, None, "3.14e5", "", ["a,b", "c"], ["a", "", "b"], 0)
+    assert X.delimiter("tab") == "\t" and X.delimiter("#") == "#"
 
 
 def test_parameters():
