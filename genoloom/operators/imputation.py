@@ -90,6 +90,9 @@ register(
         "hap_match": "select window_id, animal_id, cast(hap as bigint) as hap from base_matches union all select window_id, animal_id, cast(hap as bigint) from shifted_matches",
         "hap_fills": "select animal_id, snp_idx, g from base_fills union all select animal_id, snp_idx, g from shifted_fills",
         "hap_vote": "select animal_id, snp_idx, g from hap_fills",
+        # missing cells that a matched window looked at, and those that it filled
+        "hap_effect": """select (select count(*) from base_matches m join window_cells c on m.window_id = c.window_id and m.animal_id = c.animal_id where c.g is null)
+            + (select count(*) from shifted_matches m join shifted_cells c on m.window_id = c.window_id and m.animal_id = c.animal_id where c.g is null) as checked, (select count(*) from hap_fills) as filled""",
         "fill_rates": "select (select count(*) from geno where g is null) as missing, (select count(*) from mendel_fills) as by_mendel, (select count(*) from hap_fills) as by_window",
         # genotypes beside each genotype, by distance and side
         "ld_offsets": {"spark": "select d from (select explode(sequence(-$ld_window, $ld_window)) as d) x where d <> 0", "duckdb": "select cast(d as int) as d from (select unnest(range(-$ld_window, $ld_window + 1)) as d) x where d <> 0"},

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import custom, identity, imputation, markers, matrices, mendel, parentage, pedigree, reports, sorting  # noqa: F401
+from .. import programs
 from ..sources import views  # noqa: F401
 from . import engine, files, scalars
 
@@ -24,9 +25,9 @@ WITHOUT_SQL = {"g_inverse": "g_inverse", "pcg": "pcg"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every reference operator's query."""
-    return {name: partial(_query, name=name) for module in MODULES for name in module.QUERIES} | {name: partial(_query, name=of) for name, of in WITHOUT_SQL.items()} | scalars.QUERIES | files.QUERIES
+    return {name: partial(_query, name=name) for module in MODULES for name in module.QUERIES} | {name: partial(_query, name=of) for name, of in WITHOUT_SQL.items()} | scalars.QUERIES | files.QUERIES | {"hap_tune": programs.hap_tune}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express."""
-    return {name: engine.oracle(name) for module in MODULES for name in module.QUERIES} | scalars.oracles(engine.oracle("geno")) | files.oracles()
+    return {name: engine.oracle(name) for module in MODULES for name in module.QUERIES} | scalars.oracles(engine.oracle("geno")) | files.oracles() | {"hap_tune": programs.hap_tune_oracle()}
