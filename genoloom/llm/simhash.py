@@ -28,6 +28,8 @@ SET_TILE = 1 << 21
 #: Sets up to which candidates also meet by shared shingles: fingerprints of few shingles differ more than those of many.
 SHORT = 50
 _PART = 1 << 16
+#: Words of pairs that are compared together.
+_WORDS = 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -145,32 +147,37 @@ def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
 
 def near_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of one group at most radius apart; rows sorted by group. All groups are compared at once, row i
-    with row i + d, for d up to the size of the largest: the planes against themselves, shifted by d bits."""
+    with row i + d, for d up to the size of the largest: the planes against themselves, shifted by d bits, for many d together."""
     n = len(groups)
-    room = np.searchsorted(groups, groups, "right") - np.arange(n)  # rows from here to the group's end
     none = np.zeros(0, np.int64)
     if not n:
         return none, none
+    room = np.searchsorted(groups, groups, "right") - np.arange(n)  # rows from here to the group's end
     sliced = planes(fps)
-    words = sliced.shape[1]
-    most = int(room.max())
+    words, most = sliced.shape[1], int(room.max())
     sliced = np.pad(sliced, ((0, 0), (0, most // 64 + 2)))
+    step = max(1, _WORDS // words)
     found = ([none], [none])
-    for d in range(1, most):
-        pairs = np.zeros(64 * words, bool)
-        pairs[:n] = room > d
-        among = np.packbits(pairs, bitorder="little").view(np.uint64)
-        q, r = divmod(d, 64)
-        low, high = np.uint64(r), np.uint64(64 - r)
-
-        def differences(bit, keep, q=q, r=r, low=low, high=high):
+    for first in range(1, most, step):
+        d = np.arange(first, min(most, first + step))
+        pairs = np.zeros((len(d), 64 * words), bool)
+        pairs[:, :n] = room[None, :] > d[:, None]
+        among = np.packbits(pairs, axis=1, bitorder="little").view(np.uint64).ravel()
+        word = np.tile(np.arange(words), len(d))
+        place = word + np.repeat(d // 64, words)
+        low = np.repeat((d % 64).astype(np.uint64), words)
+        high, one, last = np.uint64(63) - low, np.uint64(1), [None, None]
+
+        def differences(bit, keep, word=word, place=place, low=low, high=high, one=one, last=last):
+            if last[0] is not keep:
+                last[:] = keep, (word[keep], place[keep], low[keep], high[keep])
+            w, p, lo, hi = last[1]
             plane = sliced[bit]
-            other = plane[keep + q] if not r else (plane[keep + q] >> low) | (plane[keep + q + 1] << high)
-            return plane[keep] ^ other
+            return plane[w] ^ ((plane[p] >> lo) | (plane[p + 1] << one << hi))
 
-        _, at = _set_bits(within(differences, sliced.shape[0], (1, words), radius, among))
-        found[0].append(at)
-        found[1].append(at + d)
+        at, bit = _set_bits(within(differences, sliced.shape[0], (len(d), words), radius, among))
+        found[0].append(bit)
+        found[1].append(bit + d[at])
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
@@ -447,7 +454,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, words: int, similarity: float)
     """Edges (src, dst) between the sets (nodes: sid, key of a text, size, root) that connect what is alike by the exact
     Jaccard similarity of whole sets, within classes of candidates (root). Sets are made again from the few texts concerned."""
     several = nodes.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / SET_TILE).cast("int").alias("tiles")).where("n > 1")
-    members = nodes.join(several.select("root", F.greatest("tiles", F.lit(1)).alias("tiles")), "root").select("key", "sid", "root", "tiles")
+    several = written(several.select("root", F.greatest("tiles", F.lit(1)).alias("tiles"), "n"), "several")
+    rows = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = join_by_key(nodes.select("key", "sid", "root"), several, "root", rows)
     rows = whole_texts(docs).select("key", "text").join(members, "key").select("root", "tiles", "sid", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +498,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp
     nodes = written(signed.groupBy("sid", "fp").agg(least.alias("least"), F.min("key").alias("key"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
     short = signed.select(F.explode("prefix").alias("key"), "fp").distinct()
     candidates = nodes.drop("n").join(roots(written(nodes.select("fp").distinct(), "fps"), radius, 1 - apart, short), "fp")
-    tree = components(written(confirmed(docs, candidates.select("key", "sid", "size", "root"), words, similarity), "confirmed"))
+    candidates = written(candidates.select("key", "sid", "size", "root"), "candidates")
+    tree = components(written(confirmed(docs, candidates, words, similarity), "confirmed"))
     rooted = nodes.join(tree, nodes["sid"] == tree["node"], "left").select("sid", "least", "n", F.coalesce("root", "sid").alias("root"))
     first = _least_of_roots(rooted, "least").select("sid", F.col("best.key").alias("first_key"), "n")
     rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
