@@ -1,7 +1,9 @@
-"""Benchmark decontamination: winnowed fingerprints of both sides meet, and every hit is extended word by word.
+"""Benchmark decontamination: winnowed fingerprints of both sides meet, and every hit is extended and compared word by word.
 
 With k-grams of K words and the least hash of every W consecutive ones kept, two texts that share W + K - 1 words share
-a kept fingerprint; K and W are chosen so that this is the length of a window.
+a kept fingerprint; K and W are chosen so that this is the length of a window. The benchmark's fingerprints reach the
+documents as a bit table of fixed size; where one of a document's own is in it, the windows around it are joined with the
+benchmark's windows, whose words decide. Neither side is ever whole in a task or in the driver.
 """
 
 from __future__ import annotations
@@ -11,17 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_texts
+from .common import join_by_key, table, whole_texts, written
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Words of a k-gram; of WINDOW - K + 1 consecutive ones the least hash is kept.
 K = 5
-#: Text of the benchmark that one pass holds; a larger benchmark takes several passes over the documents.
-BLOCK_BYTES = 32 << 20
+#: Bits of the table of the benchmark's fingerprints, as a power of two: 8 MB, whatever the benchmark's size.
+TABLE_BITS = 26
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 _BASE, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -32,25 +36,34 @@ def words(text: bytes | None) -> list[bytes]:
     return _WORD((text or b"").lower())
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads word numbers over 64 bits."""
-    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive ids; the largest number where an id is 0 (a word foreign to the benchmark)."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    mixed, out, foreign = _mixed(ids), np.zeros(n, np.uint64), np.zeros(n, bool)
-    for i in range(k):
-        out = out * _BASE + mixed[i : i + n]
-        foreign |= ids[i : i + n] <= 0
-    out[out == _TOP] = np.uint64(0)
-    out[foreign] = _TOP
-    return out
+class Texts:
+    """The words of several texts after one another, their hashes, and how many words are left from each to its text's end."""
+
+    def __init__(self, texts: list[bytes | None]):
+        lists = [words(t) for t in texts]
+        self.counts = np.array([len(w) for w in lists], np.int64)
+        self.words = [w for own in lists for w in own]
+        coded = pa.array(self.words, pa.large_binary()).dictionary_encode()
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+        self.hashes = known[coded.indices.to_numpy()] if self.words else known
+        self.text = np.repeat(np.arange(len(lists)), self.counts)
+        ends = np.cumsum(self.counts)
+        self.starts = ends - self.counts
+        self.room = ends[self.text] - np.arange(len(self.words))
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of each k consecutive words of one text; the largest number where the text ends before."""
+        n = len(self.words)
+        out = np.zeros(n, np.uint64)
+        for i in range(k):
+            out[: max(0, n - i)] = out[: max(0, n - i)] * _BASE + self.hashes[i:]
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + np.uint64(k)
+        out[out == _TOP] = np.uint64(0)
+        out[self.room < k] = _TOP
+        return out
+
+    def window(self, at: int, size: int) -> bytes:
+        return b" ".join(self.words[at : at + size])
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
@@ -68,71 +81,62 @@ def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((best == grams) & (grams != _TOP))
 
 
-class Index:
-    """Fingerprints of one block of benchmark items, of a size bounded by BLOCK_BYTES."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW, k: int = K):
-        self.window, self.k, self.vocabulary = window, k, {}
-        parts, owners, self.short = [np.array([-1])], [np.array([-1])], {}
-        at = 1
-        grams: dict[int, list[int]] = {}
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
-            if not len(ids):
-                continue
-            if len(ids) < window:
-                h = int(gram_hashes(ids, len(ids))[0])
-                self.short.setdefault(len(ids), {}).setdefault(h, []).append(at)
-            else:
-                hashes = gram_hashes(ids, k)
-                for p in winnowed(hashes, window - k + 1):
-                    grams.setdefault(int(hashes[p]), []).append(at + int(p))
-            parts += [ids, np.array([-1])]
-            owners.append(np.full(len(ids) + 1, item))
-            at += len(ids) + 1
-        self.ids, self.owners, self.grams = np.concatenate(parts), np.concatenate(owners), grams
-        self.kept = np.array(sorted(grams), np.uint64)
-        self.short_kept = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
-
-    @staticmethod
-    def _among(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        if not len(kept) or not len(values):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(kept, values)
-        at[at == len(kept)] = 0
-        return np.flatnonzero(kept[at] == values)
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start, end, item) of every shared span of a window or more; ids has several texts, parted by 0."""
-        own, n = self.ids, len(ids)
-        grams = gram_hashes(ids, self.k)
-        chosen = winnowed(grams, self.window - self.k + 1)
-        done: dict[int, int] = {}  # by diagonal, the end of the last span there
-        for p in chosen[self._among(grams[chosen], self.kept)].tolist():
-            for q in self.grams[int(grams[p])]:
-                if done.get(q - p, 0) > p:
-                    continue
-                a, b = p, q
-                while a > 0 and ids[a - 1] > 0 and ids[a - 1] == own[b - 1]:
-                    a, b = a - 1, b - 1
-                e, f = p, q
-                while e < n and ids[e] > 0 and ids[e] == own[f]:
-                    e, f = e + 1, f + 1
-                done[q - p] = max(e, p + 1)
-                if e - a >= self.window:
-                    yield a, e, int(self.owners[b])
-        for size, kept in self.short_kept.items():
-            grams = gram_hashes(ids, size)
-            for p in self._among(grams, kept).tolist():
-                for q in self.short[size].get(int(grams[p]), ()):
-                    if (ids[p : p + size] == own[q : q + size]).all():
-                        yield p, p + size, int(self.owners[q])
-
-
-def _merged(runs: list[int]) -> list[int]:
-    """Sorted, disjoint runs from flat pairs."""
+def _places(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a table of 2**width for each hash."""
+    down = np.uint64(64 - width)
+    return hashes >> down, (hashes * np.uint64(0xD6E8FEB86659FD93)) >> down
+
+
+class Table:
+    """The bits of the fingerprints, and the lengths of items shorter than a window."""
+
+    def __init__(self, bits: np.ndarray, width: int, short: list[int]):
+        self.bits, self.width, self.short = bits, width, short
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = _places(hashes, self.width)
+        one = lambda x: (self.bits[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1)
+        return (one(a) & one(b)).astype(bool)
+
+
+def _benchmark(benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, Table]:
+    """The benchmark's distinct windows (window, size, items), written, and the table of its fingerprints."""
+    width = TABLE_BITS
+    rows = whole_texts(benchmark).where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Texts(batch.column(1).cast(pa.binary()).to_pylist())
+            ids = batch.column(0).to_numpy()
+            size = np.minimum(t.counts, window)[t.text]
+            at = np.flatnonzero(t.room >= size)
+            yield pa.RecordBatch.from_arrays([pa.array([t.window(a, n) for a, n in zip(at.tolist(), size[at].tolist(), strict=True)], pa.binary()), pa.array(size[at].astype(np.int32)), pa.array(ids[t.text[at]])], ["window", "size", "item_id"])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Texts(batch.column(1).cast(pa.binary()).to_pylist())
+            grams, long = t.grams(k), (t.counts >= window)[t.text]
+            kept = winnowed(grams, window - k + 1)
+            found = [grams[kept[long[kept]]]]
+            for n in range(1, window):  # an item of n words is one gram
+                own = t.starts[t.counts == n]
+                found.append(t.grams(n)[own])
+            place = np.unique(np.concatenate([p for h in found for p in _places(h, width)]))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    windows = rows.mapInArrow(cut, "window binary, size int, item_id long")
+    windows = written(windows.groupBy("window", "size").agg(F.collect_set("item_id").alias("items")), "windows")
+    held = rows.mapInArrow(prints, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**20 rows
+    bits = np.zeros(1 << (width - 6), np.uint64)
+    bits[held["word"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
+    short = [r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect()]  # fewer than a window's words
+    return windows, Table(bits, width, sorted(short))
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[int]:
+    """Sorted, disjoint runs as flat pairs."""
     out: list[int] = []
-    for s, e in sorted(zip(runs[::2], runs[1::2], strict=True)):
+    for s, e in sorted(runs):
         if out and s <= out[-1]:
             out[-1] = max(out[-1], e)
         else:
@@ -140,69 +144,62 @@ def _merged(runs: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items of the benchmark in blocks of bounded size; items without an id or a text are left out."""
-    block, size = [], 0
-    for item, text in benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary")).toLocalIterator():
-        block.append((item, bytes(text)))
-        size += len(text)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, keep_text: bool = True) -> DataFrame:
     """docs with n_words, n_hit, runs (flat pairs of word positions, end exclusive) and items (ids with a shared window).
 
-    A null or empty text has no words. Of equal item_ids with several texts the id counts once. Columns of docs with
-    those four names are replaced; rows never meet, so repeated doc_ids are judged each alone. There is no shuffle: the
-    benchmark goes to the tasks in blocks of bounded size, one pass over the documents for each.
+    A null or empty text has no words. Of equal item_ids with several texts the id counts once; items without an id or a
+    text are left out. Columns of docs with those four names are replaced. Every row is judged alone, repeated doc_ids
+    too. Documents without a fingerprint in the table, nearly all, are never shuffled.
     """
-    spark = docs.sparkSession
+    windows, fingerprints = _benchmark(benchmark, window, k)
+    shared = docs.sparkSession.sparkContext.broadcast(fingerprints)  # of a fixed size
     docs = whole_texts(docs).drop("n_words", "n_hit", "runs", "items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", runs array<int>, items array<long>, n_words long"
-    out = docs.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<long>"), "n_words": F.lit(0).cast("long")})
     columns, text_at = docs.columns, docs.columns.index("text")
-    for block in (b for blocks in (_blocks(benchmark, block_bytes),) for b in _or_empty(blocks)):
-        shared = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, window, k)
-            number = index.vocabulary.get
-            for batch in batches:
-                starts, flat, n = [], [0], 1
-                for text in batch.column(text_at).cast(pa.binary()).to_pylist():
-                    starts.append(n)
-                    flat += [number(w, 0) for w in words(text)]
-                    flat.append(0)
-                    n = len(flat)
-                starts.append(n)
-                runs, items = batch.column(len(columns)).to_pylist(), [set(x) for x in batch.column(len(columns) + 1).to_pylist()]
-                bounds = np.array(starts)
-                for s, e, item in index.hits(np.array(flat, np.int64)):
-                    row = int(np.searchsorted(bounds, s, "right")) - 1
-                    runs[row] += [s - starts[row], e - starts[row]]
-                    items[row].add(item)
-                counts = [b - a - 1 for a, b in zip(starts, starts[1:], strict=False)]
-                new = [pa.array([_merged(r) for r in runs], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], [*columns, "runs", "items", "n_words"])
-
-        out = out.mapInArrow(scan, schema)
-    pairs = F.expr("aggregate(sequence(1, greatest(size(runs), 1)), 0L, (a, i) -> a + case when i > size(runs) then 0 when i % 2 = 0 then element_at(runs, i) else -element_at(runs, i) end)")
-    out = out.withColumn("n_hit", pairs)
-    return out if keep_text else out.drop("text")
-
-
-def _or_empty(blocks: Iterator[list]) -> Iterator[list]:
-    """At least one block: the documents' words are counted even where the benchmark is empty."""
-    found = False
-    for block in blocks:
-        found = True
-        yield block
-    if not found:
-        yield []
+    kept = [c for c in columns if keep_text or c != "text"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fingerprints, row = shared.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            t = Texts(batch.column(text_at).cast(pa.binary()).to_pylist())
+            grams = t.grams(k)
+            p = winnowed(grams, window - k + 1)
+            p = p[fingerprints.hits(grams[p])]
+            around = (p[:, None] - np.arange(window - k + 1)[None, :]).ravel()  # windows that hold the fingerprint
+            around = np.unique(around[(around >= 0) & (around >= t.starts[t.text[np.repeat(p, window - k + 1)]])] if len(p) else around)
+            found = [(around[t.room[around] >= window], window)]
+            for n in fingerprints.short:
+                grams = t.grams(n)
+                found.append((np.flatnonzero((grams != _TOP) & fingerprints.hits(grams)), n))
+            candidates: dict[int, list[dict]] = {}
+            for at, n in found:
+                for a, own in zip(at.tolist(), t.text[at].tolist(), strict=True):
+                    candidates.setdefault(own, []).append({"start": a - int(t.starts[own]), "size": n, "window": t.window(a, n)})
+            lists = pa.array([candidates.get(i) for i in range(batch.num_rows)], pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("window", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), *(batch.column(c) for c in kept), pa.array(t.counts), lists], ["_row", *kept, "n_words", "_candidates"])
+            row += batch.num_rows
+
+    schema = "_row long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept) + "n_words long, _candidates array<struct<start:int,size:int,window:binary>>"
+    marked = written(docs.mapInArrow(mark, schema), "marked")
+    shown = [F.col(f"`{c}`") for c in kept]
+    clear = marked.where("_candidates is null").select(*shown, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<long>").alias("items"))
+    some = marked.where("_candidates is not null")
+    places = written(some.select("_row", F.explode("_candidates").alias("c")).select("_row", "c.*").withColumn("key", F.concat("window", F.lit(b" "), F.col("size").cast("string").cast("binary"))), "places")
+    found = windows.select(F.concat("window", F.lit(b" "), F.col("size").cast("string").cast("binary")).alias("key"), "items")
+    counts = places.groupBy("key").agg(F.count("*").alias("n"))
+    matched = written(found.join(counts, "key"), "matched")
+    rows = places.count()
+    hits = join_by_key(places.select("_row", "start", "size", "key"), matched, "key", rows)
+    by_row = hits.groupBy("_row").agg(F.collect_list(F.struct("start", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_merged([(x["start"], x["start"] + x["size"]) for x in spans]) for spans in batch.column(1).to_pylist()]
+            hit = [sum(r[1::2]) - sum(r[::2]) for r in runs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array([sorted(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["_row", "n_hit", "runs", "items"])
+
+    extended = by_row.mapInArrow(extend, "_row long, n_hit long, runs array<int>, items array<long>")
+    dirty = some.join(extended, "_row", "left").select(*shown, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("runs", F.array().cast("array<int>")).alias("runs"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return clear.unionByName(dirty)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

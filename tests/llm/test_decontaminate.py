@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from genoloom.llm import common
 from genoloom.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -36,16 +37,18 @@ def test_query_equals_brute_force(spark, sf):
     assert any(x[4] for x in got.values())
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_small_alphabet(spark, block_bytes):
-    """Few words make many ties, repeats and chance hits; a block of one byte makes a pass for each item."""
+@pytest.mark.parametrize(("hot", "bits"), [(0, 26), (100, 26), (100, 8)])
+def test_small_alphabet(spark, monkeypatch, hot, bits):
+    """Few words make many ties, repeats and chance hits; all windows are hot or none, and the table is wide or nearly full."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(D, "TABLE_BITS", bits)
     rng = random.Random(7)
     make = lambda n: " ".join(rng.choice("ab") for _ in range(n))
-    items = [(i, make(n)) for i, n in enumerate([0, 1, 3, 9, 10, 11, 14][: 4 if block_bytes == 1 else 7])]
+    items = [(i, make(n)) for i, n in enumerate([0, 1, 3, 9, 10, 11, 14][: 4 if hot == 0 else 7])]
     docs = [(i, make(rng.randint(0, 40)), 1) for i in range(60)] + [(100, None, 1), (101, "", 1), (102, "Ä é-Ö_x1" * 3000, 1), (None, "a b", 1)]
     bench = spark.createDataFrame([*items, (None, "a b a b"), (50, None)], "item_id long, text string")
     table = spark.createDataFrame(docs, "doc_id long, text string, n_hit int")
-    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in D.contamination(table, bench, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in D.contamination(table, bench).collect()}
     assert got == {i: brute(t, items)[:3] for i, t, _ in docs}
 
 
@@ -55,3 +58,14 @@ def test_empty_tables(spark):
     row = D.contamination(docs, bench).first()
     assert (row.n_words, row.n_hit, row["items"], row.runs) == (3, 0, [], [])
     assert D.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_repeated_rows_and_runs(spark):
+    """Equal documents are judged each alone, with their own runs; hits beyond a window are extended."""
+    item = " ".join(f"w{i}" for i in range(14))
+    text = f"a b {item} c {' '.join(item.split()[:11])}"
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, item.upper(), "y"), (3, "w1 w2 w3 w4 w5 w6 w7 w8 w9 z", "y")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item + " tail")], "item_id long, text string")
+    got = sorted((r.doc_id, r.source, r.n_words, r.n_hit, r.runs, r["items"]) for r in D.contamination(docs, bench).collect())
+    one = (1, "x", 28, 25, [2, 16, 17, 28], [7, 8])
+    assert got == [one, one, (2, "y", 14, 14, [0, 14], [7, 8]), (3, "y", 10, 0, [], [])]
