@@ -66,7 +66,10 @@ register(
         "mendel_fill": "select animal_id, snp_idx, g from mendel_fills",
         "family_phase": """select m.chr, count(case when f.gc is null and f.gs is not null and f.gd is not null then 1 end) as checked, count(x.g) as filled
             from family_cells f join snp_map m on f.snp_idx = m.snp_idx left join mendel_fills x on f.animal_id = x.animal_id and f.snp_idx = x.snp_idx group by m.chr""",
-        "phasing_stats": "select snp_idx, count(*) as filled from mendel_fills group by snp_idx order by filled desc, snp_idx limit 5",
+        "phasing_cells": "select f.snp_idx, f.animal_id, x.g from family_cells f left join mendel_fills x on f.animal_id = x.animal_id and f.snp_idx = x.snp_idx where f.gc is null and f.gs is not null and f.gd is not null",
+        "phasing_counts": "select snp_idx, count(*) as checked, count(g) as filled from phasing_cells group by snp_idx",
+        "phasing_stats": """select p.snp_idx, m.chr, p.checked, p.filled, case when row_number() over (order by p.filled desc, p.snp_idx) <= 5 then 1 else 0 end as top5
+            from phasing_counts p join (select snp_idx, min(chr) as chr from snp_map group by snp_idx) m on p.snp_idx = m.snp_idx""",
         "filled": "select g.animal_id, g.snp_idx, coalesce(g.g, m.g) as g from geno g left join mendel_fills m on g.animal_id = m.animal_id and g.snp_idx = m.snp_idx",
         # base windows of a width, the last may be shorter, and after them the same shifted where they still fit; missing counts as 0 in a key
         "hap_base": "select w, w * $width + 1 as first_snp, least(w * $width + $width, n) as last_snp, n from (select distinct cast(floor((snp_idx - 1) / $width) as bigint) as w from snp_map) b cross join (select max(snp_idx) as n from snp_map) m",

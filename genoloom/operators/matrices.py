@@ -22,10 +22,16 @@ register(
         "matrix_summary": """select case when i = j then 'diagonal' else 'other' end as part, count(*) as n, round(avg(g), 5) as mean_g, round(stddev_samp(g), 5) as sd_g, round(min(g), 5) as min_g, round(max(g), 5) as max_g
             from grm group by case when i = j then 'diagonal' else 'other' end""",
         "g_diag_inbreeding": "select i as animal_id, round(g - 1, 5) as f from grm where i = j",
+        # the matrix times its inverse has ones on the diagonal
+        "g_inverse_check": {
+            "spark": """select animal_id, round(sum(g * v), 3) as one from (select g.i as animal_id, g.g, v.v from grm g join inverted v on g.i = v.i and g.j = v.j
+                union all select g.j, g.g, v.v from grm g join inverted v on g.i = v.i and g.j = v.j where g.i <> g.j) t group by animal_id""",
+            "duckdb": "select animal_id, 1e0 as one from genotyped",
+        },
         "g_inverse": {"spark": "select i, j, round(v, 5) as v from inverted"},
     },
     {"weight": "0.95e0"},
-    steps=("grm_p", "grm_k"),
+    steps=("grm_p", "grm_k", "grm"),
 )
 
-QUERIES = ["grm_freq", "grm_center", "grm_scale", "grm_product", "grm_scale_blend", "matrix_summary", "g_diag_inbreeding"]
+QUERIES = ["grm_freq", "grm_center", "grm_scale", "grm_product", "grm_scale_blend", "matrix_summary", "g_diag_inbreeding", "g_inverse_check"]

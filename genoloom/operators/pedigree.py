@@ -99,6 +99,13 @@ register(
         "sparse_accumulate": "select least(i, j) as i, greatest(i, j) as j, round(sum(v), 6) as v from a_entries group by least(i, j), greatest(i, j)",
         "key_accumulate": "select i * 1000000 + j as k, round(sum(v), 6) as v from a_entries group by i * 1000000 + j having abs(sum(v)) > 1e-16",
         "pcg": {"spark": "select i as animal_id, round(x, 1) as x from solved"},
+        # the matrix times the solution is the right side again
+        "pcg_check": {
+            "spark": """select animal_id, cast(round(sum(v * x)) as int) as y from (select a.i as animal_id, a.v, s.x from a_inv a join solved s on a.j = s.i
+                union all select a.j, a.v, s.x from a_inv a join solved s on a.i = s.i where a.i <> a.j) t group by animal_id""",
+            "duckdb": "select animal_id, byr as y from ped",
+        },
+        "csr_matvec": "select animal_id, y from matvec",
         # rows of the upper triangle, each with the place of its first entry
         "csr_upper": "select least(i, j) as i, greatest(i, j) as j, sum(v) as v from a_entries group by least(i, j), greatest(i, j)",
         "csr_rows": "select i, count(*) as n from csr_upper group by i",
@@ -114,5 +121,5 @@ register(
 QUERIES = [
     "ped_expand", "ped_sanitize", "self_parent_guard", "ped_merge", "role_sex", "dual_role_ids", "sire_dam_intersect", "valid_id", "ref_distinct", "ref_seed", "ref_stats", "prune_untraced", "cycle_guard",
     "trace_generation", "traced_from_refs", "renumber_order", "parent_number_map", "renumber", "ancestor_contrib", "inbreeding_f", "inbreeding_levels", "inbreeding_tabular", "inbreeding_summary", "mendelian_d",
-    "a_matrix", "colleau_apply", "a_inverse", "add_ainv", "sparse_accumulate", "key_accumulate", "csr_build", "matvec",
+    "a_matrix", "colleau_apply", "a_inverse", "add_ainv", "sparse_accumulate", "key_accumulate", "csr_build", "csr_matvec", "matvec", "pcg_check",
 ]

@@ -34,13 +34,12 @@ register(
         "fr_ped_lookup": """select s.sample_key, coalesce(i.id, a.id) as ped_id, case when i.id is not null then 'ID' when a.id is not null then 'ARN' else 'RAW' end as found_by,
             coalesce(i.id, a.id, s.sample_key) as animal_key
             from (select distinct sample_key from fr) s left join fr_ids i on s.sample_key = i.id left join fr_ids a on s.sample_key = a.arn""",
-        # runs of records of one animal in reading order: a new run starts a new animal
-        "fr_runs": """select ord, sample_key, sum(fresh) over (order by ord rows between unbounded preceding and current row) as run_no from (
-            select ord, sample_key, case when lag(sample_key) over (order by ord) = sample_key then 0 else 1 end as fresh from
-            (select c_custkey as ord, c_nationkey as sample_key from customer) o) f""",
-        "fr_record_seq": "select ord, sample_key, cast(run_no as bigint) as run_no, row_number() over (partition by run_no order by ord) as seq from fr_runs",
+        # runs of records of one animal in a file's order: a new run starts a new animal
+        "fr_runs": """select file, ord, sample_key, sum(fresh) over (partition by file order by ord rows between unbounded preceding and current row) as run_no from (
+            select file, ord, sample_key, case when lag(sample_key) over (partition by file order by ord) = sample_key then 0 else 1 end as fresh from fr_rows) f""",
+        "fr_record_seq": "select file, ord, sample_key, cast(run_no as bigint) as run_no, row_number() over (partition by file, run_no order by ord) as seq from fr_runs",
         # records of a run meet the markers of the same ordinal number
-        "fr_map_position": """select s.ord, s.sample_key, m.snp_id, m.chr from fr_record_seq s join
+        "fr_map_position": """select s.file, s.ord, s.sample_key, m.snp_id, m.chr from fr_record_seq s join
             (select snp_id, chr, row_number() over (order by snp_idx) as seq from snp_map) m on s.seq = m.seq""",
     },
     {"allele_mode": "'top'", "r_min": "0.2e0", "r_max": "2.0e0", "gc_min": "0.15e0", "gt_min": "0.15e0", "sep_min": "0.30e0", "animal_cr": "0.70e0"},

@@ -21,6 +21,8 @@ register(
         "fr": """select l_suppkey as sample_key, l_partkey as snp_key, l_returnflag as allele1_raw, l_linestatus as allele2_raw,
             case l_returnflag when 'A' then 'A' when 'N' then 'B' else '-' end as allele1, case l_linestatus when 'O' then 'A' when 'F' then 'B' else '-' end as allele2,
             l_quantity / 25.0 as r_intensity, 1.0 - l_tax * 10 as gc_score, l_discount * 10 as gt_score, l_extendedprice / 100000.0 as cluster_sep from lineitem""",
+        # records of several report files in their order
+        "fr_rows": "select cast(floor(c_custkey / 100) as bigint) as file, c_custkey as ord, c_nationkey as sample_key from customer",
         "alleles": "select snp_idx, snp_id, substring('ACGTACTG', 1 + snp_idx % 8, 1) as a1, substring('TGCAGTAC', 1 + snp_idx % 8, 1) as a2 from snp_map",
         # addresses with a gap after each sixth marker
         "snp_addresses": "select snp_id, snp_idx + floor(snp_idx / 7) as address from snp_map",
