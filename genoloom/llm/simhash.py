@@ -280,7 +280,7 @@ def exact_tables(bits: int, radius: int, many: bool) -> list[np.ndarray]:
     return out
 
 
-def sampled_tables(bits: int, agree: float, count: int, recall: float = 0.99) -> list[np.ndarray]:
+def sampled_tables(bits: int, agree: float, count: int, recall: float = 0.9999) -> list[np.ndarray]:
     """Tables of sampled bits for a radius that bands can't cover: two fingerprints that agree on each bit with
     probability `agree` meet in one of them with probability `recall` or more. Keys widen with the logarithm of
     the count, so that blocks stay small at every size."""
@@ -488,7 +488,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, fp
     of the angle over pi; the radius is the mean of that for `similarity` plus `slack` standard deviations, wide enough also for
     sets of four or five shingles, whose bits differ in 3 of 16 cases. first_key is the class's key of the smallest
     doc_id, nulls last, then the smallest key. Texts without words are one class. Blocks are sampled: of pairs just as alike as
-    `similarity`, 99 of 100 or more meet in one, and short sets always do.
+    `similarity` whose fingerprints differ in the expected number of bits, 9,999 of 10,000 meet in one, and short sets always do.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * fp_words

@@ -58,6 +58,8 @@ def frames(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[i
         payload = data[at + 12 : at + 12 + size]
         if masked(payload) != int.from_bytes(data[at + 12 + size : at + 16 + size], "little"):
             raise ValueError(f"broken payload at {at}")
+        if data[at + 16 + size] != 10:
+            raise ValueError(f"broken end at {at}")
         null, width, doc_id = _META.unpack_from(payload)
         yield at, size + 17, None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
         at += size + 17
@@ -120,21 +122,24 @@ def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
 
 
 def shuffled_read(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the records that the rows of index (file_no, file_part, offset, length) point to, in any order."""
+    """(doc_id, ids) of the records that the rows of index (file_no, file_part, offset, length) point to, in any order.
+
+    The places wanted of a file, FILE_RECORDS at most but for repeats, meet its one row; contents aren't copied for each record.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [next(frames(c[o : o + n])) for o, n, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int64()), pa.array([x[3].tolist() for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+            for places, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer().to_pybytes()
+                found = [next(frames(data, p["offset"], p["offset"] + p["length"])) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int64()), pa.array([x[3].tolist() for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     number = lambda p: F.regexp_extract(name, p, 1).cast("long")
     files = files.select(number(r"^part-(\d+)").alias("file_no"), number(r"-c(\d+)\.").alias("file_part"), "content")
-    wanted = index.select("file_no", "file_part", "offset", "length")
-    # only the record's bytes travel on, not the file's
-    record = F.expr("substring(content, cast(offset as int) + 1, cast(length as int))")
-    return files.join(wanted, ["file_no", "file_part"]).select(F.lit(0).cast("long").alias("offset"), "length", record.alias("record")).mapInArrow(pick, "doc_id long, ids array<long>")
+    wanted = index.groupBy("file_no", "file_part").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    return files.join(wanted, ["file_no", "file_part"]).select("places", "content").mapInArrow(pick, "doc_id long, ids array<long>")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

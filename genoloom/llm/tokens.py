@@ -49,7 +49,8 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         own = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for x in (own["normalizer"] or {}).get("normalizers", [])], [x.get("pattern", {}).get("Regex") for x in (own["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_chunk = steps == (["NFC", "Replace", "Lowercase"], [_SPLIT, None])
+        replaced = [(x.get("pattern"), x.get("content")) for x in (own["normalizer"] or {}).get("normalizers", []) if x.get("type") == "Replace"]
+        self.by_chunk = steps == (["NFC", "Replace", "Lowercase"], [_SPLIT, None]) and replaced == [({"Regex": r"\s+"}, " ")]
         self.known: dict[str, bytes] = {}
 
     @classmethod

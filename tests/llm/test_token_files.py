@@ -51,3 +51,14 @@ def test_damage_is_found():
             list(T.frames(bytes(broken)))
     with pytest.raises(ValueError):
         list(T.frames(data[:-3]))
+
+
+def test_damaged_end():
+    data = T.frame(5, np.array([1, 2], np.uint32))
+    assert [r[2] for r in T.frames(data)] == [5]
+    with pytest.raises(ValueError, match="end"):
+        list(T.frames(data[:-1] + b"x"))
+
+
+def test_known_tokenizer_goes_by_chunk():
+    assert Encoder(tokenizer_path()).by_chunk
