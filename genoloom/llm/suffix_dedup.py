@@ -312,3 +312,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes, removed bytes and spans, and the rest."""
     found = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """The same rows by counting whole windows as strings of hex digits; doc_ids are unique."""
+    return f"""
+    with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    windows as (select doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) as k from (select *, unnest(range(0, len(h) // 2 - {WINDOW - 1})) as i from d)),
+    repeated as (select doc_id, i from windows where k in (select k from windows group by k having count(*) > 1)),
+    steps as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from repeated),
+    numbered as (select *, sum(case when before is null or i > before + {WINDOW} then 1 else 0 end) over (partition by doc_id order by i) as span from steps),
+    spans as (select doc_id, span, min(i) as s, max(i) + {WINDOW} as e from numbered group by doc_id, span),
+    gaps as (select doc_id, e as s, lead(s) over (partition by doc_id order by s) as e from spans union all select doc_id, 0, min(s) from spans group by doc_id),
+    kept as (select g.doc_id, string_agg(substr(d.h, 2 * g.s + 1, 2 * (coalesce(g.e, len(d.h) // 2) - g.s)), '' order by g.s) as t from gaps g join d on g.doc_id = d.doc_id group by g.doc_id),
+    sums as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans from spans group by doc_id)
+    select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(t, h))) as kept_sha256
+    from d left join kept on d.doc_id = kept.doc_id left join sums on d.doc_id = sums.doc_id"""

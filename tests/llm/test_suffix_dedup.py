@@ -62,6 +62,17 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def test_sql_equals_brute_force(sf):
+    import duckdb
+
+    docs = duckdb.sql(f"select * from '{sf}/documents.parquet'")
+    rows = docs.fetchall()
+    want = {r[0]: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for r, x in zip(rows, brute([r[1] for r in rows], 200), strict=True)}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.execute(S.oracle()).fetchall()} == want
+
+
 @pytest.mark.parametrize(("window", "gram", "hot"), [(6, 2, 256), (6, 2, 1), (30, 8, 0), (200, 24, 1), (200, 24, 256)])
 def test_hard_texts(spark, monkeypatch, window, gram, hot):
     """Chance repeats, periods, long runs of one character, multi-byte characters, equal rows, many small units and hot keys."""
