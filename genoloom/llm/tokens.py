@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,10 @@ import pyarrow.compute as pc
 
 # Fixed value: the id that ends every document.
 END_ID = 1
-#: Words that a worker remembers; a full memory starts anew. It bounds memory and doesn't change results.
+#: Words and chunks that a worker remembers before it starts anew with the next batch. It bounds memory and doesn't change results.
 PIECES = 300_000
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)").fullmatch
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?|]*)$"
 
 # Fixed value: the pre-tokenizer for which a chunk's ids are those of its letters and of its punctuation.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,7 +52,7 @@ class Encoder:
         steps = [x.get("type") for x in (own["normalizer"] or {}).get("normalizers", [])], [x.get("pattern", {}).get("Regex") for x in (own["pre_tokenizer"] or {}).get("pretokenizers", [])]
         replaced = [(x.get("pattern"), x.get("content")) for x in (own["normalizer"] or {}).get("normalizers", []) if x.get("type") == "Replace"]
         self.by_chunk = steps == (["NFC", "Replace", "Lowercase"], [_SPLIT, None]) and replaced == [({"Regex": r"\s+"}, " ")]
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -60,44 +61,69 @@ class Encoder:
             cls._one[path] = cls(path)
         return cls._one[path]
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-
-    def _ids(self, chunk: str) -> bytes:
-        m = _PLAIN(chunk)
-        if m is None:
-            return self._remembered(chunk, lambda: self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else [])
-        return self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
-
-    def _piece(self, piece: str) -> bytes:
-        return self.known.get(piece) or self._remembered(piece, lambda: [t.id for t in self.model.tokenize(piece.translate(self.letters))])
-
-    def _remembered(self, piece: str, ids: Callable[[], list[int]]) -> bytes:
-        if (found := self.known.get(piece)) is None:
-            if len(self.known) >= PIECES:
-                self.known = {}
-            found = self.known[piece] = np.array(ids(), dtype="<u4").tobytes()
-        return found
+    def _forget(self) -> None:
+        """Empty memories; place 0 is the empty piece."""
+        self.words, self.others = {"": 0}, {"": 0}
+        self.store, self.ends = array("I"), array("q", [0, 0])
+
+    def _keep(self, known: dict[str, int], pieces: list[str], ids: list[list[int]]) -> None:
+        """Remembers the ids of pieces that weren't known: their places follow those there are."""
+        first = len(self.ends) - 1
+        self.store.extend(chain.from_iterable(ids))
+        self.ends.extend((self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist())
+        known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def _word_places(self, words: list[str]) -> np.ndarray:
+        """Places of distinct lower-case words or punctuation, each as the tokenizer's model splits it."""
+        known, tokenize, letters = self.words, self.model.tokenize, self.letters
+        fresh = [w for w in words if w not in known]
+        self._keep(known, fresh, [[t.id for t in tokenize(w if w.isascii() else w.translate(letters))] for w in fresh])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _other_places(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks that are encoded whole."""
+        known = self.others
+        fresh = [c for c in chunks if c not in known]
+        self._keep(known, fresh, [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+
+    @staticmethod
+    def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The stretches of flat with those starts and sizes, one after another."""
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (a null text taken as empty), without end ids, and the bounds of each text's."""
         texts = pc.fill_null(texts, "")
-        if self.by_chunk:
-            lists = pc.split_pattern_regex(texts, r"[\t-\r ]+")
-            chunks, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-            coded = chunks.dictionary_encode()
-            parts = [self._ids(c) for c in coded.dictionary.to_pylist()]
-            codes = coded.indices.to_numpy()
-        else:
-            encoded = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
-            parts, codes, bounds = [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], np.arange(len(texts)), np.arange(len(texts) + 1)
-        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) - np.repeat(ends - each - starts[codes], each)]
-        return ids, np.concatenate([[0], ends])[bounds]
+        if not self.by_chunk:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            return np.array([i for ids in encoded for i in ids], "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+        if len(self.ends) > PIECES:
+            self._forget()
+        lists = pc.split_pattern_regex(texts, r"[\t-\r ]+")
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        parts = pc.extract_regex(chunks, _PLAIN)
+        plain = parts.is_valid()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        places = np.zeros((len(chunks), 2), np.int64)  # of a word and its punctuation, or of a whole chunk
+        own = parts.filter(plain)
+        for column, name, lowered in ((0, "word", True), (1, "mark", False)):
+            pieces = pc.struct_field(own, name)
+            pieces = (pc.utf8_lower(pieces) if lowered else pieces).dictionary_encode()
+            places[is_plain, column] = self._word_places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()] if len(pieces) else 0
+        places[~is_plain, 0] = self._other_places(chunks.filter(pc.invert(plain)).to_pylist())
+        flat, ends = np.frombuffer(self.store, "<u4").copy() if len(self.store) else np.zeros(0, "<u4"), np.array(self.ends, np.int64)
+        starts, sizes = ends[:-1], np.diff(ends)
+        each = sizes[places].sum(axis=1)  # ids of each distinct chunk
+        flat = self._gathered(flat, starts[places].ravel(), sizes[places].ravel())
+        codes = coded.indices.to_numpy()
+        ids = self._gathered(flat, (np.cumsum(each) - each)[codes], each[codes])
+        return ids, np.concatenate([[0], np.cumsum(each[codes])])[bounds]
 
     def encode_each(self, texts: pa.Array, end_id: int, most: int = 4 << 20) -> Iterator[np.ndarray]:
         """The ids of each text with the end id; texts of about `most` bytes (or one longer text) are held at a time."""
