@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 # Terms that reject a URL alone, and terms of which several distinct ones must meet.
-STRICT_TERMS = ("bestiality", "camgirl", "hentai", "malware", "phishing", "porn", "porno", "pornhub", "rape", "warez", "xvideos", "xxx")
-SOFT_TERMS = ("adult", "bet", "casino", "cheap", "crack", "dating", "escort", "gambling", "keygen", "loan", "nude", "pharma", "pills", "poker", "replica", "sex", "slots", "torrent", "viagra")
+STRICT_TERMS = (
+    "bestiality", "botnet", "camgirl", "camgirls", "camwhore", "cardersforum", "crackz", "cumshot", "darkmarket", "ddos", "dumpz", "escortservice", "exploitkit", "fullz", "gangbang", "hentai", "keylogger", "malware",
+    "milf", "nsfw", "phishing", "porn", "porno", "pornhub", "pornstar", "ransomware", "rape", "redtube", "rootkit", "serialz", "sexcam", "spyware", "stealer", "strippers", "trojan", "upskirt", "warez", "xhamster", "xnxx",
+    "xvideos", "xxx", "youporn",
+)
+SOFT_TERMS = (
+    "adult", "babes", "baccarat", "bet", "betting", "bingo", "blackjack", "bonus", "casino", "cheap", "cialis", "coupon", "crack", "cracked", "dating", "discount", "doubleup", "erotic", "escort", "fetish", "gambling", "hack",
+    "hookup", "hot", "jackpot", "keygen", "kinky", "lingerie", "loan", "loans", "lottery", "lust", "naked", "nude", "nulled", "onlinepharmacy", "payday", "pharma", "pharmacy", "pills", "poker", "prescription", "proxy",
+    "replica", "roulette", "seductive", "sex", "sexy", "singles", "slots", "sportsbook", "steroids", "swinger", "torrent", "unblocked", "viagra", "wager", "weightloss",
+)
+#: Terms of a vocabulary at most: every worker holds an automaton of them.
+VOCABULARY_LIMIT = 1_000_000
 THRESHOLD = 2
 
 # Fixed values: (rule, verdict); a rule is host, slash, path prefix.
@@ -28,6 +38,16 @@ def vocabulary() -> dict[str, int]:
     return {t: 1 for t in SOFT_TERMS} | {t: THRESHOLD for t in STRICT_TERMS}
 
 
+def read_vocabulary(terms: DataFrame, limit: int = VOCABULARY_LIMIT) -> dict[str, int]:
+    """Weights of terms (term, weight), of any table or file: A-Z lower-cased, the largest weight of a term counts; null or empty
+    terms and weights that aren't above 0 are left out. More than `limit` terms raise."""
+    rows = terms.select(F.translate("term", _UPPER, _LOWER).alias("term"), F.col("weight").cast("int").alias("weight")).where("term <> '' and weight > 0")
+    held = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(limit + 1).collect()
+    if len(held) > limit:
+        raise ValueError(f"more than {limit} terms")
+    return {r.term: r.weight for r in held}
+
+
 @dataclass(frozen=True)
 class UrlJudge:
     """Rules and vocabulary; one automaton per worker."""

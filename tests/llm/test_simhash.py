@@ -211,7 +211,7 @@ def test_hot_keys(spark, monkeypatch):
     left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(100)] + [(9, 1)], "k long, v long")
     right = left.where("k < 9").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
     plain = sorted(tuple(r) for r in left.join(right.drop("n"), "k").collect())
-    for limit in (0, 5, 20, 1000):
+    for limit in (0, 20):
         monkeypatch.setattr(C, "HOT_ROWS", limit)
         monkeypatch.setattr(C, "HOT_KEYS", 10**9)
         assert {r.node: r.root for r in components(edges).collect()} == {i: min(s) for i, s in want.items() if i != min(s)}

@@ -37,3 +37,14 @@ def test_other_vocabularies(spark, weights):
     df = spark.createDataFrame([("h://x/ab-abc",), ("h://x/abc",)], "url string")
     got = [r.verdict for r in U.judge_urls(df, judge=U.UrlJudge(rules=(), weights=weights)).collect()]
     assert got == (["block", "allow"] if weights else ["allow", "allow"])
+
+
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Spam", 2), ("ham", 1), ("ham", 1), ("egg", 1), ("", 5), (None, 3), ("bad", 0)], "term string, weight int")
+    weights = U.read_vocabulary(terms)
+    assert weights == {"spam": 2, "ham": 1, "egg": 1}
+    pages = spark.createDataFrame([(1, "http://a.org/SPAM"), (2, "http://a.org/ham/ham"), (3, "http://a.org/ham-egg"), (4, "http://a.org/spammer"), (5, "http://a.org/bad")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in U.judge_urls(pages, judge=U.UrlJudge(rules=(), weights=weights)).collect()}
+    assert got == {1: ("block", 2), 2: ("allow", 1), 3: ("block", 2), 4: ("allow", 0), 5: ("allow", 0)}
+    with pytest.raises(ValueError):
+        U.read_vocabulary(terms, limit=2)
