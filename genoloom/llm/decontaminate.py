@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprints, row = shared.value, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (whole.slice(a, 200) for whole in batches for a in range(0, whole.num_rows, 200)):
             t = Texts(batch.column(text_at).cast(pa.binary()).to_pylist())
             grams = t.grams(k)
             p = winnowed(grams, window - k + 1)

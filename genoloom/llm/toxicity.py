@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_texts
+from .common import table, whole_texts, written
 
 #: Labelled rows of each class on which the chain is fitted, at most; chosen by the hash of their id.
 SAMPLE = 1500
@@ -159,18 +159,18 @@ def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> pa.Table:
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.where("text is not null").select("doc_id", lang.alias("lang"), "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
-    # of several texts of an id the shortest counts; their lengths come first, and texts only of what fits
-    least = rows.groupBy("doc_id").agg(F.min(F.struct("size", "h")).alias("m")).select("doc_id", "m.size", "m.h", F.xxhash64("doc_id").alias("turn")).toPandas()
+    found = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # 2 * sample ids at most
+    rows = found.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"), "lang", "text", *(c for c in chosen.columns if c != "doc_id"))
+    # of several texts of an id the shortest counts; their lengths come to the driver first, and texts only of what fits
+    each = [c for c in rows.columns if c != "doc_id"]
+    one = written(rows.groupBy("doc_id").agg(F.min(F.struct(*each)).alias("m")).select("doc_id", "m.*"), "labelled")
     fits, total = [], 0
-    for doc, size, h in least.sort_values(["turn", "doc_id"])[["doc_id", "size", "h"]].itertuples(index=False):
-        if total + size <= SAMPLE_BYTES:
-            total += size
-            fits.append((int(doc), int(size), int(h)))
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, size int, h long"))
-    picked = rows.join(wanted, ["doc_id", "size", "h"]).dropDuplicates(["doc_id"]).drop("size", "h")
-    return picked.toArrow().sort_by("doc_id")
+    for r in one.select("doc_id", "size", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").collect():
+        if total + r["size"] <= SAMPLE_BYTES:
+            total += r["size"]
+            fits.append((r.doc_id,))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, one.select("doc_id").schema))
+    return one.join(wanted, "doc_id").drop("size", "h").toArrow().sort_by("doc_id")
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, languages: int = 4) -> Chain:
@@ -207,8 +207,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 p = chain.predict(chain.matrix(batch.column(text_at)))
                 maps = pa.array([list(zip(chain.categories, row, strict=True)) for row in p.tolist()], pa.map_(pa.string(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, maps, pa.array(p[:, -1].astype(float)), pa.array(p[:, -1] >= chain.threshold)], [*columns, "categories", "p_toxic", "rejected"])
