@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 # Fixed value: the id that ends every document.
 END_ID = 1
 #: Words and chunks that a worker remembers before it starts anew with the next batch. It bounds memory and doesn't change results.
-PIECES = 200_000
+PIECES = 300_000
 
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?|]*)$"
 
@@ -125,7 +125,7 @@ class Encoder:
         ids = self._gathered(flat, (np.cumsum(each) - each)[codes], each[codes])
         return ids, np.concatenate([[0], np.cumsum(each[codes])])[bounds]
 
-    def encode_each(self, texts: pa.Array, end_id: int, most: int = 2 << 20) -> Iterator[np.ndarray]:
+    def encode_each(self, texts: pa.Array, end_id: int, most: int = 4 << 20) -> Iterator[np.ndarray]:
         """The ids of each text with the end id; texts of about `most` bytes (or one longer text) are held at a time."""
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at, seen = 0, 0
