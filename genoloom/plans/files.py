@@ -163,7 +163,7 @@ def scan_geno_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = text.read_geno(spark, path, n_snps=64)
     short, long = text.mismatches(read, 64)
     words = read.select(_c("id").cast("long").alias("animal_id"), F.posexplode(pack_genotypes(_c("geno"))).alias("word", "value"))
-    return words.withColumns({"n_short": F.lit(short), "n_long": F.lit(long)})
+    return words.withColumns({"n_short": F.lit(short).cast("long"), "n_long": F.lit(long).cast("long")})
 
 
 def scan_geno_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
