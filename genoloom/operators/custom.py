@@ -16,8 +16,10 @@ from ..plans import engine
 from ..plans.scratch import stored
 from . import matrices, pedigree
 
-#: Animals of a block of the genomic products.
-BLOCK = 512
+#: Animals, and bytes of genotypes, of a block of the genomic products at most; rows of a product held at once, and entries of a batch that leaves a task.
+BLOCK, BLOCK_BYTES, SLICE, BATCH_ENTRIES = 4096, 32 << 20, 512, 1 << 18
+#: The byte of a missing genotype.
+MISSING = -128
 #: Animals up to which a matrix is inverted: one task holds the matrix and its inverse, 1.6 GB at the limit.
 INVERSE_LIMIT = 10_000
 #: Animals up to which every task gets the whole pedigree as arrays (24 bytes an animal), beyond that ancestors are walked by joins.
@@ -267,29 +269,123 @@ def relationship_times(ped: DataFrame, gen: DataFrame, f: DataFrame, x: DataFram
 
 # ---- matrices
 
-def genomic_products(z: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(i, j, v) for i <= j: sums over markers of z_i z_j, from (animal_id, snp_idx, z), one pair of blocks a task.
+class Genotypes:
+    """Genotypes in blocks of animals: a row a block with its ids in order and a byte a call, in the order of the markers.
 
-    Markers never meet in a shuffle: each animal's values travel as one array to the blocks of its row and column.
+    Every pair of blocks meets once, and what a pair makes leaves its task in slices: no product is written between. An animal's
+    calls travel once for each block, markers never meet in a shuffle.
     """
-    wide = z.groupBy("animal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("snp_idx", "z"))), lambda x: x["z"]).alias("z"))
-    n = wide.count()
-    blocks = max(1, -(-n // block))
-    wide = wide.withColumn("b", F.pmod(F.xxhash64("animal_id"), F.lit(blocks)).cast("int"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = wide.withColumn("other", F.explode(other)).where("b <= other").select(F.col("b").alias("bi"), F.col("other").alias("bj"), "animal_id", "z")
-    columns = wide.withColumn("other", F.explode(other)).where("other <= b").select(F.col("other").alias("bi"), F.col("b").alias("bj"), F.col("animal_id").alias("column_id"), F.col("z").alias("column_z"))
-
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"i": [], "j": [], "v": []})
-        same = left["bi"].iloc[0] == left["bj"].iloc[0]
-        v = np.stack(left["z"]) @ np.stack(right["column_z"]).T
-        a, b = np.meshgrid(left["animal_id"].to_numpy(), right["column_id"].to_numpy(), indexing="ij")
-        keep = (a <= b) if same else np.ones(a.shape, bool)
-        return pd.DataFrame({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "v": v[keep]})
-
-    return rows.groupBy("bi", "bj").cogroup(columns.groupBy("bi", "bj")).applyInPandas(multiply, "i long, j long, v double")
+
+    def __init__(self, geno: DataFrame, freq: DataFrame, block: int | None = None):
+        held = freq.where("snp_idx is not null").toArrow().sort_by("snp_idx")  # a row a marker
+        self.markers, self.p = held["snp_idx"].to_numpy(), held["p"].to_numpy()
+        calls = geno.where("animal_id is not null and snp_idx is not null")
+        n = calls.select("animal_id").distinct().count()
+        block = min(BLOCK, max(256, -(-n // 8)), max(1, BLOCK_BYTES // max(1, len(self.markers)))) if block is None else block
+        self.spark, self.n, self.blocks = geno.sparkSession, n, max(1, -(-n // block))
+        markers = self.spark.sparkContext.broadcast(self.markers)
+
+        def pack(key: tuple, rows: pa.Table) -> pa.Table:
+            lists = [rows[c].combine_chunks() for c in ("s", "g")]
+            at = np.repeat(np.arange(rows.num_rows), lists[0].value_lengths().to_numpy())
+            cells = at * len(markers.value) + np.searchsorted(markers.value, lists[0].flatten().to_numpy())
+            if len(np.unique(cells)) < len(cells):
+                raise ValueError("an animal has several genotypes of one marker")
+            codes = np.full((rows.num_rows, len(markers.value)), MISSING, np.int8)
+            codes.reshape(-1)[cells] = lists[1].flatten().to_numpy()
+            order = np.argsort(rows["animal_id"].to_numpy())
+            ids = rows["animal_id"].to_numpy().astype(np.int64)[order]
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([codes[order].tobytes()], pa.binary())], ["b", "ids", "codes"])
+
+        lists = F.collect_list(F.struct("snp_idx", F.coalesce(F.col("g").cast("tinyint"), F.lit(MISSING).cast("tinyint")).alias("g")))
+        wide = calls.groupBy("animal_id").agg(lists.alias("c")).select("animal_id", F.col("c.snp_idx").alias("s"), F.col("c.g").alias("g"))
+        wide = wide.withColumn("b", F.pmod(F.xxhash64("animal_id"), F.lit(self.blocks)).cast("int"))
+        self.packed = stored(wide.groupBy("b").applyInArrow(pack, "b int, ids binary, codes binary"), "genotype_blocks")
+
+    def pairs(self, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What work(same, left, right) yields for every pair of blocks; left and right: `Block`s."""
+        packed, p = self.packed, self.spark.sparkContext.broadcast(self.p)
+        left = packed.select("b", "ids", "codes", F.explode(F.sequence(F.col("b"), F.lit(self.blocks - 1))).alias("o"))
+        right = packed.select(F.col("b").alias("o"), F.col("ids").alias("other_ids"), F.col("codes").alias("other_codes"))
+        count = self.blocks * (self.blocks + 1) // 2
+        met = left.join(right, "o").select("b", "o", "ids", "codes", "other_ids", "other_codes").repartition(min(count, 10_000), "b", "o")
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    b, o, *held = (batch.column(c)[k] for c in range(6))
+                    one, two = (Block(*(x.as_buffer() for x in held[c : c + 2]), p.value) for c in (0, 2))
+                    yield from work(b.as_py() == o.as_py(), one, two)
+
+        return met.mapInArrow(each, schema)
+
+
+class Block:
+    """The ids and genotypes of a block of animals; p: allele frequencies of the markers."""
+
+    def __init__(self, ids: pa.Buffer, codes: pa.Buffer, p: np.ndarray):
+        self.ids, self.p = np.frombuffer(ids, np.int64), p
+        self.codes = np.frombuffer(codes, np.int8).reshape(len(self.ids), len(p))
+
+    def z(self, rows: slice, markers: slice) -> np.ndarray:
+        codes = self.codes[rows, markers]
+        return np.where(codes == MISSING, 0.0, codes - 2 * self.p[markers])
+
+    def k(self) -> np.ndarray:
+        """Of each animal the sum of 2 p (1 - p) over its called markers."""
+        step = range(0, len(self.ids), 256)
+        return np.concatenate([(self.codes[r : r + 256] != MISSING) @ (2 * self.p * (1 - self.p)) for r in step]) if len(self.ids) else np.zeros(0)
+
+    def scaled(self) -> np.ndarray:
+        """U of U U': genomic relationships before blending."""
+        u = self.z(slice(None), slice(None)) / np.sqrt(self.k())[:, None]
+        if not np.isfinite(u).all():
+            raise ValueError("an animal without any call at a marker that varies has no genomic relationships")
+        return u
+
+
+def _products(one: Block, two: Block) -> Iterator[tuple[int, np.ndarray]]:
+    """The first row and the values of each slice of z z'."""
+    for r in range(0, len(one.ids), SLICE):
+        v = np.zeros((len(one.ids[r : r + SLICE]), len(two.ids)))
+        for m in range(0, len(one.p), 1024):
+            v += one.z(slice(r, r + SLICE), slice(m, m + 1024)) @ two.z(slice(None), slice(m, m + 1024)).T
+        yield r, v
+
+
+def _entries(same: bool, one: Block, two: Block, slices: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (i, j, v), i <= j, of slices of values."""
+    for first, values in slices:
+        step = max(1, BATCH_ENTRIES // max(1, len(two.ids)))
+        for r in range(0, len(values), step):
+            v = values[r : r + step]
+            a = np.repeat(one.ids[first + r : first + r + len(v)], len(two.ids))
+            b, v = np.tile(two.ids, len(v)), v.ravel()
+            if same:
+                keep = a <= b
+                a, b, v = a[keep], b[keep], v[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(v)], ["i", "j", "v"])
+
+
+def _relationships(same: bool, one: Block, two: Block, weight: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Slices of the scaled products, blended with the identity."""
+    ka, kb = one.k(), two.k()
+    for r, v in _products(one, two):
+        with np.errstate(all="ignore"):
+            v = weight * v / np.sqrt(ka[r : r + len(v), None] * kb[None, :])
+        if same:
+            v[np.arange(len(v)), np.arange(r, r + len(v))] += 1 - weight
+        yield r, v
+
+
+def genomic_products(geno: DataFrame, freq: DataFrame, weight: float | None = None, block: int | None = None) -> DataFrame:
+    """(i, j, v) for i <= j: sums over markers of z_i z_j, from geno (animal_id, snp_idx, g) and allele frequencies (snp_idx, p); with a
+    weight scaled by both animals' sums of 2 p (1 - p) and blended with the identity."""
+
+    def multiply(same: bool, one: Block, two: Block) -> Iterator[pa.RecordBatch]:
+        yield from _entries(same, one, two, _products(one, two) if weight is None else _relationships(same, one, two, weight))
+
+    return Genotypes(geno, freq, block).pairs(multiply, "i long, j long, v double")
 
 
 def inverse(g: DataFrame, limit: int | None = None) -> DataFrame:
@@ -417,6 +513,7 @@ def ld_fill(geno: DataFrame, own: DataFrame, counts: DataFrame, window: int = 3)
     return wide.mapInArrow(fill, "animal_id long, snp_idx int, g int")
 
 
+engine.STREAMED.update(("blocks", "grm_entries"))
 _made = engine.PYTHON.update
 _made({
     "traced": (("ped",), lambda p, ped: generations(ped)),
@@ -427,7 +524,8 @@ _made({
     "a_columns": (("ped", "traced", "settled"), lambda p, ped, traced, settled: relationship_columns(ped, traced, settled)),
     "a_times": (("ped", "traced", "settled", "a_vector"), lambda p, ped, traced, settled, a_vector: relationship_times(ped, traced, settled, a_vector)),
     "guarded": (("ped_cyclic",), lambda p, ped_cyclic: cycle_guard(ped_cyclic)),
-    "blocks": (("grm_z",), lambda p, grm_z: genomic_products(grm_z)),
+    "blocks": (("geno", "grm_p"), lambda p, geno, grm_p: genomic_products(geno, grm_p)),
+    "grm_entries": (("geno", "grm_p"), lambda p, geno, grm_p: genomic_products(geno, grm_p, float(p["weight"]))),
     "inverted": (("grm",), lambda p, grm: inverse(grm)),
     "ld_fills": (("windowed",), lambda p, windowed: _ld_fills(p, windowed)),
     "ld_filled": (("geno",), lambda p, geno: _ld_fills(p, geno)),

@@ -216,8 +216,7 @@ def rel_geno(spark: SparkSession, text_of: str, folder: str, out: str) -> dict[s
     wide = text.read_geno_sniffed(spark, _path(folder, _need(config, "GENOFILE")))
     numbers = _numbered(wide.select(F.col("id").alias("name")))
     geno = stored(text.to_long(wide).withColumnRenamed("animal_id", "name").join(numbers, "name").select("animal_id", "snp_idx", F.when(F.col("g") <= 2, F.col("g")).alias("g")), "geno")
-    blocks = custom.genomic_products(stored(engine.run(spark, "grm_z", given, geno=geno), "z"))
-    grm = stored(engine.run(spark, "grm", given, geno=geno, blocks=blocks), "grm")
+    grm = stored(engine.run(spark, "grm", given, geno=geno), "grm")
     wanted = any(parameters.to_logical(v[0]) for held in config.values() for k, v in held.keys.items() if k == "COMPUTE_GINV" and v)
     a, b = numbers.select(F.col("animal_id").alias("i"), F.col("name").alias("a")), numbers.select(F.col("animal_id").alias("j"), F.col("name").alias("b"))
     done = {"g": grm} | ({"ginv": stored(custom.inverse(grm).withColumnRenamed("v", "g"), "ginv")} if wanted else {})
