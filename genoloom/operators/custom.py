@@ -24,6 +24,12 @@ MISSING = -128
 INVERSE_LIMIT = 10_000
 #: Animals up to which every task gets the whole pedigree as arrays (24 bytes an animal), beyond that ancestors are walked by joins.
 PEDIGREE_LIMIT = 2_000_000
+#: Entries of the relationship matrix that a task holds at once (32 MB).
+COLUMN_ENTRIES = 1 << 22
+#: Animals up to which a task holds a table of relationships (128 MB).
+TABLE_LIMIT = 4000
+#: Markers up to which the inverse of a genomic matrix goes by a matrix of markers (8 MB), whatever the number of animals.
+INNER_LIMIT = 1024
 #: Entries of a symmetric matrix up to which a system is solved in one task's arrays (100 bytes an entry).
 ENTRY_LIMIT = 4_000_000
 #: Markers up to which every task gets the counts of neighbouring genotypes (72 bytes a marker and distance).
@@ -181,6 +187,38 @@ class Pedigree:
                 w[i] += 0.5 * w[m]
         return w
 
+    def ancestors(self, some: np.ndarray) -> np.ndarray:
+        """Places of the given animals and all their ancestors, in order."""
+        seen, now = np.zeros(len(self.ids), bool), np.unique(some)
+        while len(now):
+            seen[now] = True
+            parents = np.unique(np.concatenate([self.sire[now], self.dam[now]]))
+            now = parents[(parents >= 0) & ~seen[parents]]
+        return np.flatnonzero(seen)
+
+    def steps(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Of each level its animals with a sire and those sires, and the same of dams."""
+        level = self.levels()
+        ends = np.split(np.argsort(level, kind="stable"), np.cumsum(np.bincount(level))[:-1]) if len(level) else []
+        return [[(at[p[at] >= 0], p[at[p[at] >= 0]]) for p in (self.sire, self.dam)] for at in ends[1:]]
+
+    def columns(self, some: np.ndarray, d: np.ndarray, steps: list) -> np.ndarray:
+        """The columns of A of some animals, as `times` has them of unit vectors: only their ancestors carry anything upwards, and a level
+        goes down at once."""
+        w = np.zeros((len(self.ids), len(some)))
+        w[some, np.arange(len(some))] = 1
+        up = self.ancestors(some)
+        for i, s, m in zip(reversed(up.tolist()), reversed(self.sire[up].tolist()), reversed(self.dam[up].tolist()), strict=True):
+            if s >= 0:
+                w[s] += 0.5 * w[i]
+            if m >= 0:
+                w[m] += 0.5 * w[i]
+        w[up] *= d[up, None]
+        for step in steps:
+            for child, parent in step:
+                w[child] += 0.5 * w[parent]
+        return w
+
     def inbreeding_of(self, i: int, d: np.ndarray) -> float:
         """The diagonal of A less 1: ancestors leave a queue youngest first, with all that reaches them summed up."""
         share, queue, total = {i: 1.0}, [-i], -1.0
@@ -222,15 +260,49 @@ def settled(ped: DataFrame, gen: DataFrame) -> DataFrame:
     return inbreeding(ped, _cut(contributions(ped)))
 
 
-def inbreeding_tabular(ped: DataFrame, gen: DataFrame, limit: int = 5000) -> DataFrame:
-    """(animal_id, f) by the dense table of relationships: a parent's row is half its own parents' rows. One task, `limit` animals."""
-    arrays = Pedigree(ped, gen, limit)
-    a = np.zeros((len(arrays.ids), len(arrays.ids)))
-    for i, (s, d) in enumerate(zip(arrays.sire.tolist(), arrays.dam.tolist(), strict=True)):
-        row = sum((0.5 * a[p, :i] for p in (s, d) if p >= 0), np.zeros(i))
-        a[i, :i] = a[:i, i] = row
-        a[i, i] = 1 + (0.5 * a[s, d] if s >= 0 and d >= 0 else 0.0)
-    return ped.sparkSession.createDataFrame(pd.DataFrame({"animal_id": arrays.ids.astype("int64"), "f": np.diag(a) - 1}), "animal_id long, f double")
+def inbreeding_tabular(ped: DataFrame, gen: DataFrame, limit: int | None = None) -> DataFrame:
+    """(animal_id, f) by tables of relationships: a parent's row is half its own parents' rows, F half the relationship of both parents.
+
+    A task tables the ancestors of some couples at a time, `limit` animals at most: of more, half the couples at a time. An animal with more
+    ancestors than that has no table; those get their F level by level, as do pedigrees too large for arrays by joins.
+    """
+    limit = TABLE_LIMIT if limit is None else limit
+    spark = ped.sparkSession
+    if ped.count() > PEDIGREE_LIMIT:
+        return settled(ped, gen)
+    arrays = Pedigree(ped, gen)
+    shared, f = spark.sparkContext.broadcast(arrays), np.zeros(len(arrays.ids))  # bounded by PEDIGREE_LIMIT
+    both = np.flatnonzero((arrays.sire >= 0) & (arrays.dam >= 0))
+    pairs, couple = np.unique(np.stack([arrays.sire[both], arrays.dam[both]], axis=1), axis=0, return_inverse=True)
+
+    def tables(arrays: Pedigree, pairs: np.ndarray) -> np.ndarray:
+        up = arrays.ancestors(pairs.ravel())
+        if len(up) > limit:
+            if len(pairs) == 1:
+                return np.full(1, np.nan)
+            return np.concatenate([tables(arrays, half) for half in np.array_split(pairs, 2)])
+        sire, dam = (np.where(p[up] >= 0, np.searchsorted(up, p[up]), -1).tolist() for p in (arrays.sire, arrays.dam))
+        a = np.zeros((len(up), len(up)))
+        for i, (s, d) in enumerate(zip(sire, dam, strict=True)):
+            row = sum((0.5 * a[p, :i] for p in (s, d) if p >= 0), np.zeros(i))
+            a[i, :i] = a[:i, i] = row
+            a[i, i] = 1 + (0.5 * a[s, d] if s >= 0 and d >= 0 else 0.0)
+        return 0.5 * a[np.searchsorted(up, pairs[:, 0]), np.searchsorted(up, pairs[:, 1])]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tables(shared.value, np.stack([b.column(c).to_numpy() for c in (1, 2)], axis=1)))], ["k", "f"])
+
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(pairs)), "s": pairs[:, 0], "d": pairs[:, 1]}), "k long, s long, d long")
+    got = rows.repartitionByRange(max(1, min(1000, len(pairs) // 256)), "k").mapInArrow(walk, "k long, f double").toArrow()
+    of = np.zeros(len(pairs))
+    of[got["k"].to_numpy()] = got["f"].to_numpy()
+    f[both] = of[couple.ravel()]
+    if np.isnan(f).any():
+        held = inbreeding_levels(ped, gen).toArrow().to_pandas().set_index("animal_id")["f"]
+        f = np.where(np.isnan(f), held.reindex(arrays.ids).to_numpy(), f)
+    return spark.createDataFrame(pd.DataFrame({"animal_id": arrays.ids.astype("int64"), "f": f}), "animal_id long, f double")
 
 
 def _with_arrays(ped: DataFrame, gen: DataFrame, f: DataFrame):
@@ -245,18 +317,21 @@ def relationship_columns(ped: DataFrame, gen: DataFrame, f: DataFrame, least: fl
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, d = shared.value
-        order = np.argsort(arrays.ids)
+        order, steps, n = np.argsort(arrays.ids), arrays.steps(), len(arrays.ids)
+        width = max(1, min(block, COLUMN_ENTRIES // max(1, n)))
         for batch in batches:
             wanted = batch.column(0).to_numpy()
-            for at in range(0, len(wanted), block):
-                some = order[np.searchsorted(arrays.ids, wanted[at : at + block], sorter=order)]
-                unit = np.zeros((len(arrays.ids), len(some)))
-                unit[some, np.arange(len(some))] = 1
-                y = arrays.times(unit, d)
-                i, j = np.nonzero((np.abs(y) > least) & (arrays.ids[:, None] >= arrays.ids[some][None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(arrays.ids[i]), pa.array(arrays.ids[some][j]), pa.array(y[i, j])], ["i", "j", "a"])
+            for at in range(0, len(wanted), width):
+                some = order[np.searchsorted(arrays.ids, wanted[at : at + width], sorter=order)]
+                y = arrays.columns(some, d, steps)
+                rows = max(1, BATCH_ENTRIES // len(some))
+                for r in range(0, n, rows):
+                    ids = arrays.ids[r : r + rows]
+                    i, j = np.nonzero((np.abs(y[r : r + rows]) > least) & (ids[:, None] >= arrays.ids[some][None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(arrays.ids[some][j]), pa.array(y[r : r + rows][i, j])], ["i", "j", "a"])
 
-    return ped.select("animal_id").mapInArrow(columns, "i long, j long, a double")
+    animals = ped.select("animal_id")
+    return animals.repartition(max(1, min(1000, animals.count() // 256)), "animal_id").mapInArrow(columns, "i long, j long, a double")
 
 
 def relationship_times(ped: DataFrame, gen: DataFrame, f: DataFrame, x: DataFrame) -> DataFrame:
@@ -408,6 +483,88 @@ def inverse(g: DataFrame, limit: int | None = None) -> DataFrame:
     return g.select("i", "j", F.col("g").cast("double")).repartition(1).mapInArrow(invert, "i long, j long, v double")
 
 
+class MarkerInverse:
+    """The inverse of the genomic matrix w U U' + (1 - w) I of any number of animals, by a matrix of markers: it is
+    (I - U C U') / (1 - w) with C = (U'U + (1 - w) / w I)^-1, so that its blocks are products of blocks again."""
+
+    def __init__(self, geno: DataFrame, freq: DataFrame, weight: float):
+        self.genotypes, self.weight = Genotypes(geno, freq), weight
+        markers = len(self.genotypes.markers)
+        p = self.genotypes.spark.sparkContext.broadcast(self.genotypes.p)
+
+        def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((markers, markers))
+            for batch in batches:
+                for ids, codes in zip(batch.column(0), batch.column(1), strict=True):
+                    u = Block(ids.as_buffer(), codes.as_buffer(), p.value).scaled()
+                    total += u.T @ u
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+        def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = (1 - weight) / weight * np.eye(markers)
+            for batch in batches:
+                for m in batch.column(0):
+                    total += np.frombuffer(m.as_buffer(), float).reshape(markers, markers)
+            yield pa.RecordBatch.from_arrays([pa.array([np.linalg.inv(total).tobytes()], pa.binary())], ["m"])
+
+        parts = self.genotypes.packed.select("ids", "codes").coalesce(8).mapInArrow(squares, "m binary")  # 8 MB each at most
+        held = parts.repartition(1).mapInArrow(invert, "m binary").first().m
+        self.inner = self.genotypes.spark.sparkContext.broadcast(np.frombuffer(held, float).reshape(markers, markers))
+
+    @staticmethod
+    def fits(freq: DataFrame, weight: float) -> bool:
+        return 0 < weight < 1 and freq.count() <= INNER_LIMIT
+
+    def _slices(self) -> Callable[..., Iterator[tuple[int, np.ndarray]]]:
+        inner, weight = self.inner, self.weight
+
+        def slices(same: bool, one: Block, two: Block) -> Iterator[tuple[int, np.ndarray]]:
+            left, right = one.scaled() @ inner.value, two.scaled().T
+            for r in range(0, len(one.ids), SLICE):
+                v = left[r : r + SLICE] @ right / (weight - 1)
+                if same:
+                    v[np.arange(len(v)), np.arange(r, r + len(v))] += 1 / (1 - weight)
+                yield r, v
+
+        return slices
+
+    def entries(self) -> DataFrame:
+        """(i, j, v) for i <= j."""
+        slices = self._slices()
+        return self.genotypes.pairs(lambda same, one, two: _entries(same, one, two, slices(same, one, two)), "i long, j long, v double")
+
+    def diagonal(self) -> DataFrame:
+        """(animal_id, one): parts of the diagonal of the matrix times its inverse, one from each block that the animal meets."""
+        slices, weight = self._slices(), self.weight
+
+        def sums(same: bool, one: Block, two: Block) -> Iterator[pa.RecordBatch]:
+            across, down = np.zeros(len(one.ids)), np.zeros(len(two.ids))
+            for (r, g), (_, v) in zip(_relationships(same, one, two, weight), slices(same, one, two), strict=True):
+                both = g * v
+                across[r : r + len(g)] = both.sum(axis=1)
+                down += both.sum(axis=0)
+            for ids, part in ((one.ids, across),) if same else ((one.ids, across), (two.ids, down)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part)], ["animal_id", "one"])
+
+        return self.genotypes.pairs(sums, "animal_id long, one double")
+
+
+def genomic_inverse(geno: DataFrame, freq: DataFrame, weight: float) -> DataFrame:
+    """(i, j, v) for i <= j of the inverse of the genomic matrix: by a matrix of markers, or where they are too many whole in one task."""
+    if MarkerInverse.fits(freq, weight):
+        return MarkerInverse(geno, freq, weight).entries()
+    return inverse(stored(genomic_products(geno, freq, weight).withColumnRenamed("v", "g"), "grm"))
+
+
+def inverse_diagonal(geno: DataFrame, freq: DataFrame, weight: float) -> DataFrame:
+    """(animal_id, one): parts of the diagonal of the genomic matrix times its inverse."""
+    if MarkerInverse.fits(freq, weight):
+        return MarkerInverse(geno, freq, weight).diagonal()
+    g = stored(genomic_products(geno, freq, weight).withColumnRenamed("v", "g"), "grm")
+    met = stored(g.join(inverse(g), ["i", "j"]).select("i", "j", (F.col("g") * F.col("v")).alias("one")), "products")
+    return met.select(F.col("i").alias("animal_id"), "one").union(met.where("i <> j").select("j", "one"))
+
+
 def _solved_in_arrays(a: DataFrame, b: DataFrame, most: int, tolerance: float) -> DataFrame:
     rows = a.select(F.lit(0).alias("kind"), "i", "j", F.col("v").cast("double").alias("v")).union(b.select(F.lit(1), "i", "i", F.col("y").cast("double")))
 
@@ -424,7 +581,7 @@ def _solved_in_arrays(a: DataFrame, b: DataFrame, most: int, tolerance: float) -
         x, r = np.zeros(len(ids)), y.copy()
         p, rz, bb = r / m, float(r @ (r / m)), float(y @ y)
         for _ in range(most):
-            if not rz or float(r @ r) <= tolerance**2 * bb:
+            if not rz or (float(r @ r) <= tolerance**2 * bb and np.abs(r).max() <= tolerance * np.abs(y).max()):
                 break
             ap = np.bincount(rows, weights=values * p[columns], minlength=len(ids))
             step = rz / float(p @ ap)
@@ -439,7 +596,8 @@ def _solved_in_arrays(a: DataFrame, b: DataFrame, most: int, tolerance: float) -
 def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: float = 1e-9, entries: int | None = None) -> DataFrame:
     """(i, x) with a x = b, for a symmetric positive definite (i, j, v), i >= j or i <= j once each, and b (i, y).
 
-    Jacobi-preconditioned. Up to `entries` entries are solved in one task's arrays; beyond, every product is a join and a sum,
+    Jacobi-preconditioned, until both the norm of the residual and its largest value are `tolerance` of those of b: by the norm alone a
+    single row may be off by more the more rows there are. Up to `entries` entries are solved in one task's arrays; beyond, every product is a join and a sum,
     and only scalars come to the driver.
     """
     if a.count() <= (ENTRY_LIMIT if entries is None else entries):
@@ -447,7 +605,7 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: f
     full = _cut(a.union(a.where("i <> j").select(F.col("j"), F.col("i"), "v")))
     m = full.where("i = j").select("i", F.col("v").alias("m"))
     state = _cut(b.join(m, "i").select("i", F.lit(0.0).alias("x"), F.col("y").alias("r"), (F.col("y") / F.col("m")).alias("p"), "m"))
-    rz, bb = state.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
+    rz, bb, largest = state.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r")), F.max(F.abs("r"))).first()
     for _ in range(most):
         if not bb or not rz:
             break
@@ -455,10 +613,10 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, most: int = 500, tolerance: f
         joined = state.join(ap, "i")
         alpha = rz / joined.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         stepped = joined.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "m")
-        new, rr = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
+        new, rr, left = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r")), F.max(F.abs("r"))).first()
         state = _cut(stepped.withColumn("p", F.col("r") / F.col("m") + (new / rz) * F.col("p")))
         rz = new
-        if rr <= tolerance**2 * bb:
+        if rr <= tolerance**2 * bb and left <= tolerance * largest:
             break
     return state.select("i", "x")
 
@@ -513,7 +671,7 @@ def ld_fill(geno: DataFrame, own: DataFrame, counts: DataFrame, window: int = 3)
     return wide.mapInArrow(fill, "animal_id long, snp_idx int, g int")
 
 
-engine.STREAMED.update(("blocks", "grm_entries"))
+engine.STREAMED.update(("blocks", "grm_entries", "a_columns", "inverted"))
 _made = engine.PYTHON.update
 _made({
     "traced": (("ped",), lambda p, ped: generations(ped)),
@@ -526,7 +684,8 @@ _made({
     "guarded": (("ped_cyclic",), lambda p, ped_cyclic: cycle_guard(ped_cyclic)),
     "blocks": (("geno", "grm_p"), lambda p, geno, grm_p: genomic_products(geno, grm_p)),
     "grm_entries": (("geno", "grm_p"), lambda p, geno, grm_p: genomic_products(geno, grm_p, float(p["weight"]))),
-    "inverted": (("grm",), lambda p, grm: inverse(grm)),
+    "inverted": (("geno", "grm_p"), lambda p, geno, grm_p: genomic_inverse(geno, grm_p, float(p["weight"]))),
+    "inverse_ones": (("geno", "grm_p"), lambda p, geno, grm_p: inverse_diagonal(geno, grm_p, float(p["weight"]))),
     "ld_fills": (("windowed",), lambda p, windowed: _ld_fills(p, windowed)),
     "ld_filled": (("geno",), lambda p, geno: _ld_fills(p, geno)),
     "solved": (("a_inv", "ped"), lambda p, a_inv, ped: conjugate_gradient(a_inv, ped.select(F.col("animal_id").alias("i"), F.col("byr").cast("double").alias("y")), tolerance=1e-6)),
