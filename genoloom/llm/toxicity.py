@@ -7,6 +7,7 @@ earlier ones as they will be on texts that they haven't seen. The chain ends wit
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -134,7 +135,7 @@ def fit(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> C
         chain.weights = [np.append(np.zeros(k), -20.0) for k in range(len(names))]
         return chain
     chain.words = {f: i for i, f in enumerate(select_features(texts, last))}
-    x = chain.matrix(texts)
+    x = np.concatenate([chain.matrix(texts.slice(at, 250)) for at in range(0, len(texts), 250)])
     fold = np.random.default_rng(SEED).permutation(len(x)) % folds
     before = np.zeros((len(x), 0), np.float32)
     for name in names:
@@ -154,14 +155,14 @@ def fit(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> C
     return chain
 
 
-def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> pa.Table:
-    """doc_id, lang, text and labels of at most `sample` ids of each class and SAMPLE_BYTES: one row an id, in the order of its hash."""
+def _sample(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """doc_id, lang, text and labels of at most `sample` ids of each class and SAMPLE_BYTES, chosen in the order of the ids' hashes: one row an id."""
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     found = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # 2 * sample ids at most
     rows = found.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"), "lang", "text", *(c for c in chosen.columns if c != "doc_id"))
-    # of several texts of an id the shortest counts; their lengths come to the driver first, and texts only of what fits
+    # of several texts of an id the shortest counts; their lengths come to the driver, no text does
     each = [c for c in rows.columns if c != "doc_id"]
     one = written(rows.groupBy("doc_id").agg(F.min(F.struct(*each)).alias("m")).select("doc_id", "m.*"), "labelled")
     fits, total = [], 0
@@ -170,7 +171,25 @@ def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> pa.Table:
             total += r["size"]
             fits.append((r.doc_id,))
     wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, one.select("doc_id").schema))
-    return one.join(wanted, "doc_id").drop("size", "h").toArrow().sort_by("doc_id")
+    return one.join(wanted, "doc_id").drop("size", "h")
+
+
+def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> pa.Table:
+    """The rows of _sample by doc_id."""
+    return _sample(docs, known, sample).toArrow().sort_by("doc_id")
+
+
+def _fitted(held: pa.Table | None, own: list[str], languages: int) -> Chain:
+    """The chain of a sample; own: its categories but the last, in the columns _is_0, _is_1, ..."""
+    if held is None or not held.num_rows:
+        return fit(pa.array([], pa.string()), dict.fromkeys([*own, "toxic"], np.zeros(0)))
+    toxic, text = held["toxic"].to_numpy().astype(float), held["text"].combine_chunks()
+    if own:
+        return fit(text, {c: held[f"_is_{n}"].to_numpy().astype(float) for n, c in enumerate(own)} | {"toxic": toxic})
+    lang = np.array(held["lang"].to_pylist(), object)
+    names, counts = np.unique(lang[toxic > 0].astype(str), return_counts=True)
+    used = [str(n) for n in names[np.argsort(-counts, kind="stable")][:languages] if n]
+    return fit(text, {f"toxic_{n}": toxic * (lang == n) for n in used} | {"toxic": toxic})
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, languages: int = 4) -> Chain:
@@ -179,19 +198,20 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, langu
     Columns of labels other than doc_id, quality and toxic are its earlier categories, in their order (0 or 1; null counts as
     0). Without such columns they are toxicity in each of the most frequent languages. Of each class (toxic or not) the
     `sample` labelled ids of the smallest hash are used, so the fit is bounded in rows and bytes however often an id is
-    repeated; a doc_id labelled more than once counts as toxic if any label says so. Null labels, ids and texts are left out.
+    repeated, and one task does it; a doc_id labelled more than once counts as toxic if any label says so. Null labels, ids and texts are left out.
     """
     own = [c for c in labels.columns if c not in ("doc_id", "quality", "toxic")]
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), *(F.coalesce(F.max(F.col(f"`{c}`").cast("int")), F.lit(0)).alias(f"_is_{n}") for n, c in enumerate(own)))
-    held = _sampled(docs, known, sample)
-    toxic = held["toxic"].to_numpy().astype(float)
-    text = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
-    if own:
-        return fit(text, {c: held[f"_is_{n}"].to_numpy().astype(float) for n, c in enumerate(own)} | {"toxic": toxic})
-    lang = np.array(held["lang"].to_pylist(), object)
-    names, counts = np.unique(lang[toxic > 0].astype(str), return_counts=True)
-    used = [str(n) for n in names[np.argsort(-counts, kind="stable")][:languages] if n]
-    return fit(text, {f"toxic_{n}": toxic * (lang == n) for n in used} | {"toxic": toxic})
+    rows = _sample(docs, known, sample)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        chain = _fitted(pa.Table.from_batches(held).sort_by("doc_id") if held else None, own, languages)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], ["chain"])
+
+    # one task holds the sample, and the driver only the chain: what it holds once, its Python keeps
+    made = rows.repartition(1).mapInArrow(work, "chain binary").first()
+    return pickle.loads(made.chain) if made else _fitted(None, own, languages)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -63,6 +63,23 @@ def test_fit_is_bounded(spark, monkeypatch):
     assert chain.categories == ["insult", "threat", "toxic"]
 
 
+def test_fit_leaves_the_driver(spark, monkeypatch):
+    """The sampled texts go to a task; the driver gets the fitted chain alone, the same as from the sample itself."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    held = T._sampled(docs, known, T.SAMPLE)
+    lang = np.array(held["lang"].to_pylist(), object)
+    toxic = held["toxic"].to_numpy().astype(float)
+    names, counts = np.unique(lang[toxic > 0].astype(str), return_counts=True)
+    own = {f"toxic_{n}": toxic * (lang == n) for n in names[np.argsort(-counts, kind="stable")][:4]}
+    want = T.fit(held["text"].combine_chunks(), own | {"toxic": toxic})
+    for name in ("fit", "_sampled"):
+        monkeypatch.setattr(T, name, None)  # the driver's alone
+    chain = T.fit_labelled(docs, labels)
+    assert (chain.categories, chain.words, chain.threshold) == (want.categories, want.words, want.threshold)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(chain.weights, want.weights, strict=True))  # sums of single precision
+
+
 def test_clean_and_toxic_by_hand(spark):
     """Every row of a small table against the rule that made it."""
     rows = [(i, " ".join((["vile"] if i % 4 == 0 else []) + [f"{a}{b}" for a in "abcdefgh" for b in ("in", "on", "al")][i % 5 : i % 5 + 9])) for i in range(200)]
