@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -345,7 +346,8 @@ def relationship_times(ped: DataFrame, gen: DataFrame, f: DataFrame, x: DataFram
 # ---- matrices
 
 class Genotypes:
-    """Genotypes in blocks of animals: a row a block with its ids in order and a byte a call, in the order of the markers.
+    """Genotypes in blocks of animals: a row a block with its ids in order and a byte a call, in the order of the markers, both deflated:
+    every block travels to as many tasks as there are blocks.
 
     Every pair of blocks meets once, and what a pair makes leaves its task in slices: no product is written between. An animal's
     calls travel once for each block, markers never meet in a shuffle.
@@ -370,7 +372,7 @@ class Genotypes:
             codes.reshape(-1)[cells] = lists[1].flatten().to_numpy()
             order = np.argsort(rows["animal_id"].to_numpy())
             ids = rows["animal_id"].to_numpy().astype(np.int64)[order]
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([codes[order].tobytes()], pa.binary())], ["b", "ids", "codes"])
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (ids, codes[order]))], ["b", "ids", "codes"])
 
         lists = F.collect_list(F.struct("snp_idx", F.coalesce(F.col("g").cast("tinyint"), F.lit(MISSING).cast("tinyint")).alias("g")))
         wide = calls.groupBy("animal_id").agg(lists.alias("c")).select("animal_id", F.col("c.snp_idx").alias("s"), F.col("c.g").alias("g"))
@@ -399,8 +401,8 @@ class Block:
     """The ids and genotypes of a block of animals; p: allele frequencies of the markers."""
 
     def __init__(self, ids: pa.Buffer, codes: pa.Buffer, p: np.ndarray):
-        self.ids, self.p = np.frombuffer(ids, np.int64), p
-        self.codes = np.frombuffer(codes, np.int8).reshape(len(self.ids), len(p))
+        self.ids, self.p = np.frombuffer(zlib.decompress(ids), np.int64), p
+        self.codes = np.frombuffer(zlib.decompress(codes), np.int8).reshape(len(self.ids), len(p))
 
     def z(self, rows: slice, markers: slice) -> np.ndarray:
         codes = self.codes[rows, markers]
