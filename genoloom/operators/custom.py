@@ -19,6 +19,9 @@ from . import matrices, pedigree
 
 #: Animals, and bytes of genotypes, of a block of the genomic products at most; rows of a product held at once, and entries of a batch that leaves a task.
 BLOCK, BLOCK_BYTES, SLICE, BATCH_ENTRIES = 4096, 32 << 20, 512, 1 << 18
+#: Rows that Parquet's first page may have, by which its writer keeps a dictionary or gives it up (20,000, and as many to spare); values of a dictionary
+#: (131,072 at most); rows of other values that a task holds back for it.
+PAGE_ROWS, DICTIONARY, HELD_ENTRIES = 40_000, 120_000, 1 << 21
 #: The byte of a missing genotype.
 MISSING = -128
 #: Animals up to which a matrix is inverted: one task holds the matrix and its inverse, 1.6 GB at the limit.
@@ -346,8 +349,8 @@ def relationship_times(ped: DataFrame, gen: DataFrame, f: DataFrame, x: DataFram
 # ---- matrices
 
 class Genotypes:
-    """Genotypes in blocks of animals: a row a block with its ids in order and a byte a call, in the order of the markers, both deflated:
-    every block travels to as many tasks as there are blocks.
+    """Genotypes in blocks of animals whose ids follow each other: a row a block with its ids in order and a byte a call, in the order of the
+    markers, both deflated: every block travels to as many tasks as there are blocks.
 
     Every pair of blocks meets once, and what a pair makes leaves its task in slices: no product is written between. An animal's
     calls travel once for each block, markers never meet in a shuffle.
@@ -357,10 +360,12 @@ class Genotypes:
         held = freq.where("snp_idx is not null").toArrow().sort_by("snp_idx")  # a row a marker
         self.markers, self.p = held["snp_idx"].to_numpy(), held["p"].to_numpy()
         calls = geno.where("animal_id is not null and snp_idx is not null")
-        n = calls.select("animal_id").distinct().count()
+        animals = calls.select("animal_id").distinct()
+        n = animals.count()
         block = min(BLOCK, max(256, -(-n // 8)), max(1, BLOCK_BYTES // max(1, len(self.markers)))) if block is None else block
         self.spark, self.n, self.blocks = geno.sparkSession, n, max(1, -(-n // block))
         markers = self.spark.sparkContext.broadcast(self.markers)
+        cuts = animals.select(F.percentile_approx("animal_id", [k / self.blocks for k in range(1, self.blocks)], 100_000)).first()[0] if n and self.blocks > 1 else []
 
         def pack(key: tuple, rows: pa.Table) -> pa.Table:
             lists = [rows[c].combine_chunks() for c in ("s", "g")]
@@ -376,7 +381,7 @@ class Genotypes:
 
         lists = F.collect_list(F.struct("snp_idx", F.coalesce(F.col("g").cast("tinyint"), F.lit(MISSING).cast("tinyint")).alias("g")))
         wide = calls.groupBy("animal_id").agg(lists.alias("c")).select("animal_id", F.col("c.snp_idx").alias("s"), F.col("c.g").alias("g"))
-        wide = wide.withColumn("b", F.pmod(F.xxhash64("animal_id"), F.lit(self.blocks)).cast("int"))
+        wide = wide.withColumn("b", sum((F.when(F.col("animal_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
         self.packed = stored(wide.groupBy("b").applyInArrow(pack, "b int, ids binary, codes binary"), "genotype_blocks")
 
     def pairs(self, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -385,7 +390,8 @@ class Genotypes:
         left = packed.select("b", "ids", "codes", F.explode(F.sequence(F.col("b"), F.lit(self.blocks - 1))).alias("o"))
         right = packed.select(F.col("b").alias("o"), F.col("ids").alias("other_ids"), F.col("codes").alias("other_codes"))
         count = self.blocks * (self.blocks + 1) // 2
-        met = left.join(right, "o").select("b", "o", "ids", "codes", "other_ids", "other_codes").repartition(min(count, 10_000), "b", "o")
+        number = F.expr(f"cast((b * (2L * {self.blocks} - b - 1) div 2 + o) % {min(count, 10_000)} as int)")  # up to 10,000 pairs have a task each
+        met = left.join(right, "o").select("b", "o", "ids", "codes", "other_ids", "other_codes").repartitionById(min(count, 10_000), number)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -430,18 +436,39 @@ def _products(one: Block, two: Block) -> Iterator[tuple[int, np.ndarray]]:
         yield r, v
 
 
-def _entries(same: bool, one: Block, two: Block, slices: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows (i, j, v), i <= j, of slices of values."""
-    for first, values in slices:
+def _entries(same: bool, one: Block, two: Block, slices: Iterator[tuple[int, np.ndarray]], places: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (i, j, v), i <= j, of slices of values. With the places to which values will be rounded, rows leave in such an order that
+    Parquet's writer keeps a dictionary of their values: the most frequent values first, and last those too far off for it."""
+    middle, near, held, rare = np.nan, np.nan, [], 0
+    batch = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "v"])
+    reach = np.inf if places is None else DICTIONARY / 2 * 10.0**-places
+    for n, (first, values) in enumerate(slices):
         step = max(1, BATCH_ENTRIES // max(1, len(two.ids)))
-        for r in range(0, len(values), step):
-            v = values[r : r + step]
-            a = np.repeat(one.ids[first + r : first + r + len(v)], len(two.ids))
-            b, v = np.tile(two.ids, len(v)), v.ravel()
-            if same:
-                keep = a <= b
-                a, b, v = a[keep], b[keep], v[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(v)], ["i", "j", "v"])
+        if n == 0 and places is not None and values.size > PAGE_ROWS:
+            middle = np.median(values)
+            near = np.partition(np.abs(values - middle), PAGE_ROWS, axis=None)[PAGE_ROWS]
+        passes = [True, False] if n == 0 and near >= 0 else [False]
+        for frequent in passes:
+            for r in range(0, len(values), step):
+                v = values[r : r + step]
+                a = np.repeat(one.ids[first + r : first + r + len(v)], len(two.ids))
+                b, v = np.tile(two.ids, len(v)), v.ravel()
+                off = np.abs(v - middle)
+                keep = (off <= near) == frequent if len(passes) > 1 else np.ones(len(v), bool)
+                if same:
+                    keep &= a <= b
+                if not keep.all():
+                    a, b, v, off = a[keep], b[keep], v[keep], off[keep]
+                far = off > reach
+                if far.any():
+                    held.append((a[far], b[far], v[far]))
+                    rare += len(held[-1][0])
+                    a, b, v = a[~far], b[~far], v[~far]
+                yield batch(a, b, v)
+                if rare > HELD_ENTRIES:  # too many for any dictionary
+                    yield from (batch(*x) for x in held)
+                    held, reach = [], np.inf
+    yield from (batch(*x) for x in held)
 
 
 def _relationships(same: bool, one: Block, two: Block, weight: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -457,10 +484,10 @@ def _relationships(same: bool, one: Block, two: Block, weight: float) -> Iterato
 
 def genomic_products(geno: DataFrame, freq: DataFrame, weight: float | None = None, block: int | None = None) -> DataFrame:
     """(i, j, v) for i <= j: sums over markers of z_i z_j, from geno (animal_id, snp_idx, g) and allele frequencies (snp_idx, p); with a
-    weight scaled by both animals' sums of 2 p (1 - p) and blended with the identity."""
+    weight scaled by both animals' sums of 2 p (1 - p) and blended with the identity. Queries round the latter to 5 places."""
 
     def multiply(same: bool, one: Block, two: Block) -> Iterator[pa.RecordBatch]:
-        yield from _entries(same, one, two, _products(one, two) if weight is None else _relationships(same, one, two, weight))
+        yield from _entries(same, one, two, _products(one, two) if weight is None else _relationships(same, one, two, weight), None if weight is None else 5)
 
     return Genotypes(geno, freq, block).pairs(multiply, "i long, j long, v double")
 
