@@ -484,10 +484,10 @@ def _relationships(same: bool, one: Block, two: Block, weight: float) -> Iterato
 
 def genomic_products(geno: DataFrame, freq: DataFrame, weight: float | None = None, block: int | None = None) -> DataFrame:
     """(i, j, v) for i <= j: sums over markers of z_i z_j, from geno (animal_id, snp_idx, g) and allele frequencies (snp_idx, p); with a
-    weight scaled by both animals' sums of 2 p (1 - p) and blended with the identity. Queries round the latter to 5 places."""
+    weight scaled by both animals' sums of 2 p (1 - p) and blended with the identity. Queries round the former to 4 places, the latter to 5."""
 
     def multiply(same: bool, one: Block, two: Block) -> Iterator[pa.RecordBatch]:
-        yield from _entries(same, one, two, _products(one, two) if weight is None else _relationships(same, one, two, weight), None if weight is None else 5)
+        yield from _entries(same, one, two, _products(one, two) if weight is None else _relationships(same, one, two, weight), 4 if weight is None else 5)
 
     return Genotypes(geno, freq, block).pairs(multiply, "i long, j long, v double")
 
